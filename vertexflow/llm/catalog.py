@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, toxicity
+from . import exact_dedup, language, mixing, quality, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
+    "op4_exact_dedup": exact_dedup.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_language_id": language.query,
     "op9_quality_classifier": quality.query,
+    "op10_source_mixing": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
+}
