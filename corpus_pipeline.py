@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexflow.llm import toxicity
+from vertexflow.llm import line_dedup, mixing, packing, simhash, toxicity
 from vertexflow.llm.storage import shared_folder
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
-STAGES = [("toxicity", toxicity.stage)]
-
-#: No stage but one can be expressed in SQL; the stages are tested against brute force instead.
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("line_dedup", line_dedup.stage),
+    ("simhash_near_dedup", simhash.stage),
+    ("source_mixing", mixing.stage),
+    ("packing", packing.stage),
+]
+
+#: Classifier, fingerprints, draws and packing have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
