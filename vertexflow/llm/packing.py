@@ -12,21 +12,26 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
+from string import punctuation
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import small_batches, stored
 
 CAPACITY, END = 4096, 1
 GROUP, ROUNDS, FULL = 20_000, 4, 0.995
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -38,31 +43,123 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Store:
+    """Token id runs of words, one after the other in arrays that grow; run 0 is empty."""
+
+    def __init__(self) -> None:
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n, self.used = 1, 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Numbers of the new runs, which are `ids` cut into `sizes`."""
+        n, used = self.n + len(sizes), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.append(self.ids[: self.used], np.zeros(used, np.uint32))
+        if n > len(self.starts):
+            self.starts, self.sizes = (np.append(x[: self.n], np.zeros(n, np.int64)) for x in (self.starts, self.sizes))
+        self.ids[self.used : used] = ids
+        self.sizes[self.n : n] = sizes
+        self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        new = range(self.n, n)
+        self.n, self.used = n, used
+        return new
+
+
+def spread(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of `ids` that start and last as given, side by side."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return ids[at]
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers.
+    """Token ids of texts.
 
     The vocabulary drops white space before it merges anything, so the ids of a text are those of the parts between its
-    blanks and line feeds, one after the other; each distinct part is encoded once as long as it is remembered.
+    blanks and line feeds, one after the other; each distinct part is encoded once as long as it is remembered. Letters are
+    merged apart from punctuation after them, so a part of letters with such a tail is looked up in two; many words are
+    encoded in one call and told apart by the ids that end a word.
     """
 
+    TAIL_BITS = 24
+
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = list(set().union(*parts).difference(self.known))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.store = Store()
+        self.runs: dict[str, int] = {"": 0}  # of words, tails and other parts
+        self.known: dict[str, int] = {"": 0}  # of parts: the word's run and the tail's
+
+    def _whole(self, parts: list[str]) -> range:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return self.store.add(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
+
+    def _letters(self, words: list[str]) -> range:
+        """Runs of words of nothing but letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words):
+            return self._whole(words)
+        return self.store.add(ids, np.diff(stops, prepend=0))
+
+    def _learn(self, new: list[str]) -> None:
+        runs, cores, tails, odd = self.runs, [], [], []
+        for w in new:
+            c = w.rstrip(punctuation)
+            if c.isascii():
+                if c.isalpha():
+                    cores.append(c.lower())
+                    tails.append(w[len(c) :])
+                    continue
+            elif normalize("NFC", c).lower().isalpha():  # some letters come apart into a letter and a mark
+                cores.append(c)
+                tails.append(w[len(c) :])
+                continue
+            cores.append(w)
+            tails.append("")
+            odd.append(w)
+        odd = set(odd).union(tails)
+        words = list(set(cores).difference(runs, odd))
+        for i in range(0, len(words), 512):
+            runs.update(zip(some := words[i : i + 512], self._letters(some), strict=True))
+        odd = list(odd.difference(runs))
+        runs.update(zip(odd, self._whole(odd), strict=True))
+        shift = self.TAIL_BITS
+        self.known.update((w, runs[c] << shift | runs[t]) for w, c, t in zip(new, cores, tails, strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and for each text where its ids end."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > REMEMBERED or self.store.n >= (1 << self.TAIL_BITS) - len(parts) * 2:
+            self._forget()
+        if new := [w for w in parts if w not in self.known]:
+            self._learn(new)
+        both = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        pair = np.stack([both >> self.TAIL_BITS, both & ((1 << self.TAIL_BITS) - 1)], 1)
+        sizes = self.store.sizes[pair]
+        ids = spread(self.store.ids, self.store.starts[pair].ravel(), sizes.ravel())
+        sizes = sizes.sum(1)
+        own = sizes[codes]
+        ends = np.append(0, np.cumsum(own))[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return spread(ids, (np.cumsum(sizes) - sizes)[codes], own), ends
+
+
+@cache
+def encoder_of(vocabulary: str) -> Encoder:
+    """One for each Python worker, whose tasks share what it remembers."""
+    return Encoder(vocabulary)
 
 
 def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -70,32 +167,32 @@ def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ca
 
     Only documents of more than `capacity` ids are cut, and only their last piece may be shorter than that.
     """
+    small_batches(docs.sparkSession)
     frame = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     schema = docs.select("doc_id", *[F.lit(0).cast(t).alias(n) for n, t in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"))], F.array().cast("array<int>").alias("ids")).schema
     if not with_ids:
         schema = type(schema)(schema.fields[:-1])
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
-            # a few hundred texts at a time, so that the ids of a batch are never held at once
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, coded in enumerate(encoder.encode(b.column(1).to_pylist())):
-                    coded += end
-                    for k, s in enumerate(range(0, len(coded), 4 * capacity)):
-                        part = coded[s : s + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<i4"))
-                columns = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
+            row, piece, start, length, crc, own = [], [], [], [], [], []
+            ids, ends = encoder.encode(batch.column(1))
+            first = 0
+            for i, last in enumerate(ends.tolist()):
+                coded = np.append(ids[first:last], END).astype("<u4")
+                first = last
+                for k, s in enumerate(range(0, len(coded), capacity)):
+                    part = coded[s : s + capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        own.append(part.astype(np.int32))
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(own, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
