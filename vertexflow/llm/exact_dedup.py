@@ -68,7 +68,8 @@ def exact_groups(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFra
     groups = rows.groupBy("recipe", "ranks").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_stays")
     )
-    return rows.join(groups, ["recipe", "ranks"]).select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_stays")).alias("kept"), "text_sha256")
+    # stored, so that the join deals its rows anew and a large group of copies can be split
+    return rows.join(stored(groups), ["recipe", "ranks"]).select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_stays")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
