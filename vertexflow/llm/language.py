@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import GAP, IS_WORD, Block, blocks, byte_grams
+from .storage import small_batches
 from .training import MAX_BYTES, fetch, split_of
 
 BITS, SIZES = 14, (2, 3)
@@ -120,6 +121,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null text, one without a letter, or any text if no language was learned, gets `und` with score 0, not ambiguous.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     new = ("lang_pred", "score", "ambiguous")
     keep = [c for c in docs.columns if c != text and c not in new]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import GAP, Block, blocks, byte_grams
+from .storage import small_batches
 from .training import bounded_sample, split_of
 
 BITS, SIZES, DIM = 17, (2, 3, 4), 12
@@ -109,6 +110,7 @@ def score_texts(table: np.ndarray, offset: float, texts: list[bytes | None]) ->
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality") -> DataFrame:
     """All rows and columns of `docs` but the text, which becomes its score; a null text scores as an empty one."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.table(), model.offset()))
     keep = [c for c in docs.columns if c not in (text, out)]
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias(out))
