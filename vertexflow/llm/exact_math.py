@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +12,20 @@ from pyspark.sql import functions as F
 TERMS = 20000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once; a Column used twice would stand twice in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_factorial(n: Column) -> Column:
     """ln n!, by Stirling's series at n + 11, within 1e-10."""
-    x = n.cast("double") + 11.0
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    for i in range(1, 11):
-        series = series - F.log(n.cast("double") + float(i))
-    return series
+
+    def series(n: Column) -> Column:
+        x = n + 11.0
+        below = F.log((n + 1) * (n + 2) * (n + 3) * (n + 4) * (n + 5) * (n + 6) * (n + 7) * (n + 8) * (n + 9) * (n + 10))
+        return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) - below
+
+    return let(n.cast("double"), series)
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -50,21 +58,33 @@ def hypergeometric_draw(total: Column, marked: Column, drawn: Column, u: Column)
 
     Sums over the support within 12 standard deviations of the mean, beyond which lies less than 1e-20.
     """
-    total, marked, drawn = total.cast("long"), marked.cast("long"), drawn.cast("long")
-    low, high = F.greatest(F.lit(0), drawn - (total - marked)), F.least(marked, drawn)
-    mean = drawn * marked / F.greatest(total, F.lit(1))
-    var = mean * (total - marked) / F.greatest(total, F.lit(1)) * (total - drawn) / F.greatest(total - 1, F.lit(1))
-    reach = 12 * F.sqrt(var) + 12
-    first = F.greatest(low, F.floor(mean - reach).cast("long"))
-    last = F.least(high, F.ceil(mean + reach).cast("long"))
-    p0 = F.exp(log_choose(marked, first) + log_choose(total - marked, drawn - first) - log_choose(total, drawn))
-    start = F.struct(p0.alias("p"), p0.alias("cum"), first.alias("x"))
-
-    def step(acc: Column, i: Column) -> Column:
-        go = acc["cum"] <= u
-        x = acc["x"] + 1
-        p = acc["p"] * (marked - acc["x"]) / x * (drawn - acc["x"]) / F.greatest(total - marked - drawn + x, F.lit(1))
-        return F.when(go, F.struct(p.alias("p"), (acc["cum"] + p).alias("cum"), x.alias("x"))).otherwise(acc)
-
-    steps = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step, lambda acc: acc["x"])
+    given = F.struct(total.cast("long").alias("t"), marked.cast("long").alias("m"), drawn.cast("long").alias("d"), u.alias("u"))
+
+    def spread(g: Column) -> Column:
+        mean = g["d"] * g["m"] / F.greatest(g["t"], F.lit(1))
+        share = (g["t"] - g["m"]) / F.greatest(g["t"], F.lit(1)) * (g["t"] - g["d"]) / F.greatest(g["t"] - 1, F.lit(1))
+        return F.struct(g.alias("g"), mean.alias("mean"), (12 * F.sqrt(mean * share) + 12).alias("reach"))
+
+    def support(s: Column) -> Column:
+        g = s["g"]
+        first = F.greatest(F.lit(0), g["d"] - (g["t"] - g["m"]), F.floor(s["mean"] - s["reach"]).cast("long"))
+        last = F.least(g["m"], g["d"], F.ceil(s["mean"] + s["reach"]).cast("long"))
+        return F.struct(g.alias("g"), first.alias("first"), last.alias("last"))
+
+    def start(s: Column) -> Column:
+        g = s["g"]
+        p = F.exp(log_choose(g["m"], s["first"]) + log_choose(g["t"] - g["m"], g["d"] - s["first"]) - log_choose(g["t"], g["d"]))
+        return F.struct(g.alias("g"), s["first"].alias("first"), s["last"].alias("last"), p.alias("p"))
+
+    def invert(s: Column) -> Column:
+        g = s["g"]
+
+        def step(acc: Column, _: Column) -> Column:
+            x = acc["x"] + 1
+            p = acc["p"] * (g["m"] - acc["x"]) / x * (g["d"] - acc["x"]) / F.greatest(g["t"] - g["m"] - g["d"] + x, F.lit(1))
+            return F.when(acc["cum"] <= g["u"], let(p, lambda p: F.struct(p.alias("p"), (acc["cum"] + p).alias("cum"), x.alias("x")))).otherwise(acc)
+
+        steps = F.when(s["last"] > s["first"], F.sequence(s["first"] + 1, s["last"])).otherwise(F.array().cast("array<bigint>"))
+        return F.aggregate(steps, F.struct(s["p"].alias("p"), s["p"].alias("cum"), s["first"].alias("x")), step, lambda acc: acc["x"])
+
+    return let(let(let(let(given, spread), support), start), invert)

@@ -80,14 +80,11 @@ def cutoffs(holdout: DataFrame, stratum: str, limit: float = LIMIT, delta: float
     over = [F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(grid)]
     counts = good.groupBy(stratum).agg(F.count("*").alias("n"), *over)
     strata = counts.agg(F.count("*").alias("strata"))
-    counts = counts.crossJoin(strata)  # the other side is one row
-    level = delta / (F.col("strata") * len(RULES) * len(grid))
-
-    def least(rule: str) -> Column:
-        passed = [F.when(binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), F.lit(limit / len(RULES))) <= level, F.lit(c)) for i, c in enumerate(grid)]
-        return F.coalesce(*passed).alias(f"max_{rule}")
-
-    return counts.select(stratum, *[least(r) for r in RULES])
+    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(grid)])
+    rows = counts.crossJoin(strata).select(stratum, "n", "strata", F.explode(tests).alias("t"))  # the other side is one row
+    tail = binomial_tail(F.col("t.k"), F.col("n"), F.lit(limit / len(RULES)))
+    rows = rows.withColumn("passed", tail <= delta / (F.col("strata") * len(RULES) * len(grid)))
+    return rows.groupBy(stratum).agg(*[F.min(F.when(F.col("passed") & (F.col("t.rule") == r), F.col("t.cutoff"))).alias(f"max_{r}") for r in RULES])
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import blocks, word_grams
+from .storage import small_batches
 from .training import bounded_sample, split_of
 
 #: Distances of the word pairs: bigrams and skip-grams over one word.
@@ -61,24 +62,26 @@ def fit(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 6,
     No text: a model that scores 0.5 everywhere.
     """
     learner = Ftrl(bits)
-    rows: list[np.ndarray] = []
+    found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for block in blocks(texts):
         slots, doc = word_grams(block, bits, SKIPS)
         key = np.unique((doc << bits) | slots)
-        cuts = np.searchsorted(key, np.arange(1, block.n) << bits)
-        rows += [np.append(part & ((1 << bits) - 1), 1 << bits) for part in np.split(key, cuts)]
-    spread = np.zeros((1 << bits) + 1, np.int64)
-    for at in rows:
-        spread[at] += 1
-    spread[-1] = least
-    rows = [at[spread[at] >= least] for at in rows]
+        found.append((key & ((1 << bits) - 1)).astype(np.int32))
+        sizes.append(np.bincount(key >> bits, minlength=block.n))
+    # all texts' slots one after the other: a few large arrays go back to the system, many small ones would not
+    slots = np.concatenate(found)
+    del found
+    live = (np.bincount(slots, minlength=1 << bits) >= least)[slots]
+    ends = np.cumsum(np.concatenate(sizes))
+    ends = np.append(np.zeros(1, np.int32), np.cumsum(live, dtype=np.int32))[ends]
+    slots, starts = slots[live], np.append(0, ends)
+    bias = np.array([1 << bits], np.int32)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            learner.learn(rows[i], int(labels[i]))
-    w = learner.weights(np.arange((1 << bits) + 1))
-    slots = np.flatnonzero(w[:-1])
-    return Model(bits, slots, w[slots].astype(np.float32), float(w[-1]))
+        for i in order.permutation(len(ends)):
+            learner.learn(np.append(slots[starts[i] : ends[i]], bias), int(labels[i]))
+    at = np.flatnonzero(np.abs(learner.z[:-1]) > learner.l1)
+    return Model(bits, at, learner.weights(at).astype(np.float32), float(learner.weights(bias)[0]))
 
 
 def score_texts(model: Model, table: np.ndarray, texts: list[bytes | None]) -> np.ndarray:
@@ -94,6 +97,7 @@ def score_texts(model: Model, table: np.ndarray, texts: list[bytes | None]) -> n
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """All rows and columns of `docs` but the text, which becomes its score; a null text scores as an empty one."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (text, out)]
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias(out))
@@ -142,6 +146,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs`, with all their columns, that score below REJECT."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
