@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 GAP = 4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)

@@ -28,7 +28,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 #: Rows that Python workers get at once; a batch of whole texts, and what is computed from it, then stays within some MB.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
