@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import small_batches, stored
+from .storage import BATCH_ROWS, small_batches, stored
 
 CAPACITY, END = 4096, 1
 GROUP, ROUNDS, FULL = 20_000, 4, 0.995
 VOCABULARY = "word_bpe_49k.json"
-#: Parts of texts that a Python worker remembers, twice: those met lately, and those met before them.
-REMEMBERED, RUNS = 250_000, 1_500_000
+#: Parts of texts that a Python worker remembers before it starts afresh.
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -47,7 +47,7 @@ class Store:
     """Token id runs of words, one after the other in arrays that grow; run 0 is empty."""
 
     def __init__(self) -> None:
-        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32)
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n, self.used = 1, 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
@@ -56,7 +56,7 @@ class Store:
         if used > len(self.ids):
             self.ids = np.append(self.ids[: self.used], np.zeros(used, np.uint32))
         if n > len(self.starts):
-            self.starts, self.sizes = (np.append(x[: self.n], np.zeros(n, np.uint32)) for x in (self.starts, self.sizes))
+            self.starts, self.sizes = (np.append(x[: self.n], np.zeros(n, np.int64)) for x in (self.starts, self.sizes))
         self.ids[self.used : used] = ids
         self.sizes[self.n : n] = sizes
         self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
@@ -84,7 +84,8 @@ class Encoder:
 
     TAIL_BITS = 24
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,9 +97,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.store = Store()
+        self.runs: dict[str, int] = {"": 0}  # of words, tails and other parts
         self.known: dict[str, int] = {"": 0}  # of parts: the word's run and the tail's
-        self.old: dict[str, int] = {}
-        self.tails: dict[str, int] = {"": 0}
 
     def _whole(self, parts: list[str]) -> range:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -114,7 +114,7 @@ class Encoder:
         return self.store.add(ids, np.diff(stops, prepend=0))
 
     def _learn(self, new: list[str]) -> None:
-        cores, tails, odd = [], [], []
+        runs, cores, tails, odd = self.runs, [], [], []
         for w in new:
             c = w.rstrip(punctuation)
             if c.isascii():
@@ -129,36 +129,28 @@ class Encoder:
             cores.append(w)
             tails.append("")
             odd.append(w)
-        known, shift = self.known, self.TAIL_BITS
-        for w in set(cores).intersection(self.old):
-            known[w] = self.old[w]
-        words = list(set(cores).difference(known, odd))
+        odd = set(odd).union(tails)
+        words = list(set(cores).difference(runs, odd))
         for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            known.update((w, r << shift) for w, r in zip(some, self._letters(some), strict=True))
-        known.update((w, r << shift) for w, r in zip(odd, self._whole(odd), strict=True))
-        ends = list(set(tails).difference(self.tails))
-        self.tails.update(zip(ends, self._whole(ends), strict=True))
-        known.update((w, known[c] | self.tails[t]) for w, c, t in zip(new, cores, tails, strict=True) if t)
-        known.update((w, known[c]) for w, c in zip(new, cores, strict=True) if w not in known)
+            runs.update(zip(some := words[i : i + 512], self._letters(some), strict=True))
+        odd = list(odd.difference(runs))
+        runs.update(zip(odd, self._whole(odd), strict=True))
+        shift = self.TAIL_BITS
+        self.known.update((w, runs[c] << shift | runs[t]) for w, c, t in zip(new, cores, tails, strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and for each text where its ids end."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if self.store.n > RUNS:
+        if len(self.known) > self.remembered or self.store.n >= (1 << self.TAIL_BITS) - len(parts) * 2:
             self._forget()
-        elif len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {"": 0}
         if new := [w for w in parts if w not in self.known]:
-            self.known.update((w, self.old[w]) for w in new if w in self.old)
-            if new := [w for w in new if w not in self.known]:
-                self._learn(new)
+            self._learn(new)
         both = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         pair = np.stack([both >> self.TAIL_BITS, both & ((1 << self.TAIL_BITS) - 1)], 1)
-        sizes = self.store.sizes[pair].astype(np.int64)
-        ids = spread(self.store.ids, self.store.starts[pair].ravel().astype(np.int64), sizes.ravel())
+        sizes = self.store.sizes[pair]
+        ids = spread(self.store.ids, self.store.starts[pair].ravel(), sizes.ravel())
         sizes = sizes.sum(1)
         own = sizes[codes]
         ends = np.append(0, np.cumsum(own))[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
@@ -166,24 +158,24 @@ class Encoder:
 
 
 @cache
-def encoder_of(vocabulary: str) -> Encoder:
+def encoder_of(vocabulary: str, remembered: int) -> Encoder:
     """One for each Python worker, whose tasks share what it remembers."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, remembered)
 
 
-def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED, batch: int = BATCH_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of every row; a null text has just the end id.
 
     Only documents of more than `capacity` ids are cut, and only their last piece may be shorter than that.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, batch)
     frame = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     schema = docs.select("doc_id", *[F.lit(0).cast(t).alias(n) for n, t in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"))], F.array().cast("array<int>").alias("ids")).schema
     if not with_ids:
         schema = type(schema)(schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, remembered)
         for batch in batches:
             row, piece, start, length, crc, own = [], [], [], [], [], []
             ids, ends = encoder.encode(batch.column(1))
@@ -315,12 +307,13 @@ def packed_sequences(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
     return ordered.select("sequence_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
 
 
-def packed(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    return pack(pieces(docs, text, vocabulary)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def packed(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, remembered: int = REMEMBERED, batch: int = BATCH_ROWS) -> DataFrame:
+    """The pieces of all rows with their places. Remembering more and larger batches save encoding and cost memory."""
+    return pack(pieces(docs, text, vocabulary, remembered=remembered, batch=batch)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), remembered=1_200_000, batch=2 * BATCH_ROWS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

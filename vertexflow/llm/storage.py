@@ -31,8 +31,8 @@ def stored(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, for operators that hand whole texts to Python."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batches to `rows` rows, for operators that hand whole texts to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
