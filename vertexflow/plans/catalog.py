@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Supersteps that the SQL unrolls: more than the queries' graphs need at the scale of the check. Beyond the last active
 #: vertex a superstep changes nothing.
-UNROLL, HITS_STEPS, TRIALS, BUDGET = 26, 8, 12, 40
+UNROLL, HITS_STEPS, TRIALS, BUDGET = 26, 8, 6, 22
 
 CHAIN, CUT, FLOW, NATION, PARTS = "order_chain", "order_chain_cut", "purchase_flow", "nation_trade", "part_supplier"
 
