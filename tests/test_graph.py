@@ -59,6 +59,31 @@ def test_mtx(spark, tmp_path):
     assert vs.count() == 4
     assert graphs.read_mtx(spark, str(path), undirected=True)[0].count() == 8
     assert graphs.simple(e).count() == 2
+    graphs.write_mtx(e, 4, str(tmp_path / "folder"))
+    again, vs = graphs.read_mtx(spark, str(tmp_path / "folder"))
+    assert sorted(map(tuple, again.collect())) == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 3, 1)] and vs.count() == 4
+    (tmp_path / "none.mtx").write_text("% nothing\n")
+    with pytest.raises(ValueError):
+        graphs.read_mtx(spark, str(tmp_path / "none.mtx"))
+
+
+def test_mtx_in_blocks(spark, tmp_path):
+    path = tmp_path / "g.mtx"
+    path.write_text("% c\n900 900 900\n" + "".join(f"{i} {i % 900 + 1}\n" for i in range(1, 901)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 512)
+    try:
+        e, vs = graphs.read_mtx(spark, str(path))
+        assert table(e.select("src", "dst")) == {i: i % 900 + 1 for i in range(1, 901)} and vs.count() == 900
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_sites(spark):
+    lines = ["// x", "add.s32 %r1, %r2, %r3;", "setp.ge.s32 %p1, %r1, 2;", "mul.wide.s32 %rd4, %r1, 4;", "@%p1 bra L;", "L:", "st.u32 [%rd1], %r2;", "cvt.u16.u32 %rs2, %r1;", "ret;"]
+    sites = res.decoded(res.instructions(spark.createDataFrame(list(enumerate(lines)), "line int, value string")))
+    assert {r["line"]: (r["width"], r["register"]) for r in sites.collect()} == {1: (32, "%r1"), 2: (1, "%p1"), 3: (64, "%rd4"), 7: (16, "%rs2")}
 
 
 def test_offsets(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..operators import resilience as res
 from ..operators import topology as top
 from ..sources import graphs
 from ..sources.graphs import SQL
+from . import gas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +46,39 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LOG.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+#: An assembly listing made from the events, one line for each; both engines read this text.
+LISTING = """SELECT CAST(event_id AS INT) AS line, CASE event_id % 10 WHEN 0 THEN '// note' WHEN 1 THEN '.reg .f32 %f<4>;'
+ WHEN 2 THEN concat('  add.s32  %r', CAST(user_id % 7 AS STRING), ', %r1, %r2;') WHEN 3 THEN 'mul.wide.s32 %rd4, %r1, 4;' WHEN 4 THEN 'setp.ge.s32 %p1, %r1, %r2;'
+ WHEN 5 THEN '@%p1 bra BB0_2;' WHEN 6 THEN 'cvt.rn.f64.s32 %fd5, %r3;' WHEN 7 THEN 'st.global.u32 [%rd1], %r2;' WHEN 8 THEN 'BB0_2:' ELSE 'mov.u16 %rs3, 1;' END AS value FROM events"""
+KERNELS = [(0, 2999, "gather"), (3000, 5999, "apply"), (6000, 8999, "scatter")]
+
+
+def listing(made: Callable[[DataFrame], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = spark.sql(LISTING.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return made(res.instructions(lines))
+
+    return query
+
+
+def _attributed(sites: DataFrame) -> DataFrame:
+    kernels = sites.sparkSession.createDataFrame(KERNELS, "lo int, hi int, kernel string")
+    return res.in_ranges(sites.select("line"), kernels, "kernel")
+
+
+def _through_file(edges: DataFrame, undirected: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices of the graph, written as coordinate text and read again."""
+    spark = edges.sparkSession
+    path = f"{gas.ensure_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graphs.write_mtx(edges, graphs.vertices(edges).agg(F.max("v")).head()[0] or 0, path)
+    return graphs.read_mtx(spark, path, undirected)
+
+
+def _last_frontier(trace: DataFrame) -> DataFrame:
+    last = trace.agg(F.max("iter").alias("iter"))
+    return trace.join(F.broadcast(last), "iter").select("iter", "vertex")  # one row
+
+
 def log(made: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: made(_log(spark, sf_dir))
 
@@ -126,6 +161,13 @@ def _score(edges: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "a4_sssp": graph(CHAIN, lambda e: alg.sssp(e)[0]),
     "s1_edges": graph(CHAIN, lambda e: e),
+    "s1_read_mtx": graph(CHAIN, lambda e: _through_file(e)[0]),
+    "s2_read_undirected": graph(CHAIN, lambda e: _through_file(e, True)[0]),
+    "s9_header_vertices": graph(CHAIN, lambda e: _through_file(e)[1]),
+    "s13_last_frontier": graph(CHAIN, lambda e: _last_frontier(alg.sssp_trace(e))),
+    "f1_instructions": listing(lambda x: x),
+    "f3_decode": listing(res.decoded),
+    "f11_kernel": listing(_attributed),
     "s1_nation_trade": graph(NATION, lambda e: e),
     "s1_purchase_flow": graph(FLOW, lambda e: e),
     "s2_symmetrise": graph(PARTS, lambda e: e),
@@ -276,12 +318,26 @@ def _rollup(keys: tuple[str, ...]) -> str:
     return f"{_LOG} SELECT {', '.join(keys)}, {_COUNTS}{extra} FROM tk GROUP BY {', '.join(keys)}"
 
 
+_SITES = rf"""WITH s AS (SELECT line, trim(regexp_replace(value, '[\t ]+', ' ', 'g')) AS text FROM ({LISTING})),
+k AS (SELECT * FROM s WHERE text <> '' AND NOT regexp_matches(text, '^(//|[.{{}}()@]|ret\b|bra\b|st[.]|[$\w]+:)'))"""
+_DECODE = r""", d AS (SELECT line, text, split_part(text, ' ', 1) AS opcode, string_split(split_part(text, ' ', 1), '.') AS p, regexp_extract(text, '%\w+') AS register FROM k),
+t AS (SELECT *, CASE WHEN starts_with(opcode, 'cvt') THEN p[-2] ELSE p[-1] END AS type FROM d),
+b AS (SELECT *, coalesce(try_cast(regexp_extract(type, '\d+$') AS INT), 32) AS bits FROM t)
+SELECT line, text, opcode, type, CASE WHEN starts_with(opcode, 'setp') OR type = 'pred' THEN 1 WHEN regexp_matches(opcode, '^(mul|mad)[.]wide') THEN 2 * bits
+ WHEN starts_with(register, '%rs') THEN 16 WHEN starts_with(register, '%rd') THEN 64 ELSE bits END::INT AS width, register FROM b"""
 _LEVEL = " ".join(f"WHEN {sum(1 << (3 - i) for i, n in enumerate(('app', 'kernel', 'iter', 'vertex')) if n not in k)} THEN '{'_'.join(k)}'" for k in res.LEVELS)
 _RANK = "row_number() OVER (ORDER BY round(rank, 6) DESC, v)"
 
 ORACLES: dict[str, str] = {
     "a4_sssp": _with(CHAIN, _sssp_steps(UNROLL) + f" SELECT v, d AS dist FROM s{UNROLL}"),
     "s1_edges": SQL[CHAIN],
+    "s1_read_mtx": f"SELECT src::INT AS src, dst::INT AS dst, 1 AS w FROM ({SQL[CHAIN]})",
+    "s2_read_undirected": f"WITH e AS ({SQL[CHAIN]}) SELECT src::INT AS src, dst::INT AS dst, 1 AS w FROM e UNION ALL SELECT dst::INT, src::INT, 1 FROM e",
+    "s9_header_vertices": _with(CHAIN, " SELECT range::INT AS v FROM range(1, (SELECT max(v) FROM vs) + 1)"),
+    "s13_last_frontier": _with(CHAIN, f"{_sssp_steps(UNROLL)}, {_TRACE} SELECT iter, vertex FROM tr WHERE iter = (SELECT max(iter) FROM tr)"),
+    "f1_instructions": f"{_SITES} SELECT line, text FROM k",
+    "f3_decode": _SITES + _DECODE,
+    "f11_kernel": f"{_SITES} SELECT line, kernel FROM k LEFT JOIN (VALUES {', '.join(map(str, KERNELS))}) r(lo, hi, kernel) ON line BETWEEN lo AND hi",
     "s1_nation_trade": SQL[NATION],
     "s1_purchase_flow": SQL[FLOW],
     "s2_symmetrise": SQL[PARTS],

@@ -13,18 +13,28 @@ from pyspark.sql.window import Window
 def read_mtx(spark: SparkSession, path: str, undirected: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst, w) and vertices (v) of a coordinate file.
 
+    path: a file, or a folder whose files are read in the order of their names; blocks of a file are read side by side.
     Lines that start with % are comments; the first other line gives rows, columns and edges, and the vertices are 1 to
     rows. A missing third column counts as 1; weights lose their fraction. Parallel edges and loops stay.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    tokens = lines.filter(~F.col("line").startswith("%") & (F.trim("line") != "")).select("n", F.split(F.trim("line"), r"\s+").alias("t"))
-    header = tokens.orderBy("n").limit(1)
-    first = header.select("n", F.col("t")[0].cast("int").alias("rows")).head()
-    if first is None:
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(place.alias("at"), F.trim("value").alias("line"))
+    tokens = lines.filter(~F.col("line").startswith("%") & (F.col("line") != "")).select("at", F.split("line", r"\s+").alias("t"))
+    first = tokens.agg(F.min_by("t", "at").alias("t"), F.min("at").alias("at")).head()
+    if first["at"] is None:
         raise ValueError(f"{path} has no header line")
+    rows, header = int(first["t"][0]), first["at"]
+    below = (F.col("at.file") != header["file"]) | (F.col("at.block") != header["block"]) | (F.col("at.n") != header["n"])
     weight = F.coalesce(F.try_element_at("t", F.lit(3)).try_cast("float"), F.lit(1.0)).cast("int")
-    edges = tokens.filter(F.col("n") > first["n"]).select(F.col("t")[0].cast("int").alias("src"), F.col("t")[1].cast("int").alias("dst"), weight.alias("w"))
-    return (symmetrise(edges) if undirected else edges), spark.range(1, first["rows"] + 1).select(F.col("id").cast("int").alias("v"))
+    edges = tokens.filter(below).select(F.col("t")[0].cast("int").alias("src"), F.col("t")[1].cast("int").alias("dst"), weight.alias("w"))
+    return (symmetrise(edges) if undirected else edges), spark.range(1, rows + 1).select(F.col("id").cast("int").alias("v"))
+
+
+def write_mtx(edges: DataFrame, rows: int, path: str) -> None:
+    """Writes edges (src, dst) as coordinate text: a folder with the header in its first file and the edges in the others."""
+    count = edges.count()
+    edges.sparkSession.range(1).select(F.lit(f"{rows} {rows} {count}").alias("value")).write.text(f"{path}/0-header")
+    edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(f"{path}/1-edges")
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
