@@ -202,6 +202,29 @@ def test_classifiers_learn(spark, docs, nothing):
     assert all((r["quality"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in scored)
 
 
+@pytest.mark.parametrize("texts", [[b"alpha beta", b""], [b"alpha beta", None], [None], [b"", None, b""], [b"", b"alpha beta", b"gamma", None, b"alpha beta"]])
+def test_quality_of_empty_texts(texts):
+    table = np.random.default_rng(2).normal(size=1 << quality.BITS).astype(np.float32)
+    got = quality.score_texts(table, 0.3, texts)
+    for t, x in zip(texts, got, strict=True):
+        slots, share = quality.features([t])[0]
+        assert x == pytest.approx(1 / (1 + np.exp(-(float(share @ table[slots]) + 0.3))), rel=1e-4)
+
+
+def test_quality_scores_every_row(spark, docs, nothing):
+    rows = [(i, text(40, i).replace(" ", "## ") if i % 2 else text(40, i), 1 - i % 2) for i in range(20)]
+    junk = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(junk, junk)
+    out = quality.score(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r["quality"] <= 1 for r in out)
+    none = 1 / (1 + np.exp(-model.offset()))
+    last = spark.createDataFrame([(1, "alpha beta"), (2, "")], "doc_id long, text string").coalesce(1)
+    empty = spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id long, text string").coalesce(1)
+    assert quality.score(last, model).filter("doc_id = 2").head()["quality"] == pytest.approx(none)
+    assert [r["quality"] for r in quality.score(empty, model).collect()] == pytest.approx([none] * 3)
+    assert quality.score(nothing, model).count() == 0
+
+
 def test_language(spark, docs, nothing):
     fr, en = ["le chat est sur la table et il dort", "nous allons manger ce soir avec eux"], ["the cat is on the table and sleeps", "we will eat this evening with them"]
     rows = [(i, " ".join(random.Random(i).sample(s, 2)), n) for i in range(40) for n, s in (("fr", fr), ("en", en))]

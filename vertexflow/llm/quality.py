@@ -98,12 +98,13 @@ def score_texts(table: np.ndarray, offset: float, texts: list[bytes | None]) ->
     out = np.empty(len(texts))
     for block in blocks(texts):
         words, doc = _word_slots(block)
-        total = np.bincount(doc, weights=table[words], minlength=block.n)
+        total = np.bincount(doc, weights=table[words], minlength=block.n).astype(float)  # integers where a block has no word
         n = np.bincount(doc, minlength=block.n) + len(SIZES) * (block.ends - block.starts)
         for slots in _grams(block):
             v = table[slots]
             v[slots == 0] = 0
-            total += np.add.reduceat(v, block.starts)
+            # an empty last text starts just beyond v
+            total += np.add.reduceat(np.append(v, np.float32(0)), block.starts)
         out[block.first : block.first + block.n] = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + offset, -35, 35)))
     return out
 
