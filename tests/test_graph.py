@@ -121,3 +121,12 @@ def test_injection_with_no_bit_is_masked(spark):
     state = res.inject_sssp(e, plan, 1, 20)
     out = {r["trial"]: (r["outcome"], r["fi_flag"]) for r in res.value_metrics(state, alg.sssp(e)[0]).collect()}
     assert out[1] == ("Masked", 0) and out[2][0] in ("SDC", "Masked")
+
+
+def test_injected_runs_end_on_their_own(spark, monkeypatch):
+    from vertexflow.plans import catalog
+
+    pairs = [(i, i + 1) for i in range(1, 27)]
+    monkeypatch.setattr(graphs, "derived", lambda *_: edges(spark, pairs))
+    assert catalog._trials(spark, "").agg(F.max("iter")).head()[0] > catalog.BUDGET
+    assert [(r["fi_flag"], r["active"]) for r in catalog._inject(spark, "").collect()] == [(1, 0)] * catalog.TRIALS

@@ -65,7 +65,7 @@ def trials(trace: DataFrame, n: int, width: int = 32) -> DataFrame:
     return t.join(order, ["iter", "pick"]).select("trial", "iter", "vertex", "bit", F.lower(F.hex(mask(F.col("bit")))).alias("mask"), phase.alias("phase"))
 
 
-def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int) -> DataFrame:
+def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int = gas.MOST) -> DataFrame:
     """trial, v, d, active, fired after all trials of `plan` (trial, iter, vertex, bit) ran for up to `most` supersteps.
 
     The flip hits the new distance in the apply phase; it fires only for an active vertex other than the source. A trial
@@ -89,7 +89,7 @@ def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int) -> Da
         hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
         return rows.join(hit, ["trial", "v"], "left").select("trial", "v", "d", F.coalesce("hit", F.lit(False)).alias("active"), "fired")
 
-    state, _ = gas.run(start, step, most)
+    state, _ = gas.run(start, step, most, keep=gas.stored)
     return state
 
 
@@ -101,7 +101,7 @@ def flip_float(value: pd.Series, bit: pd.Series) -> pd.Series:
     return pd.Series((bits ^ masks).view(np.float32))
 
 
-def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int = gas.MOST) -> DataFrame:
     """trial, v, rank, active, fired, as inject_sssp does, flipping a bit of the new 32-bit rank."""
     edges = edges.select("src", "dst")
     out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
@@ -122,7 +122,7 @@ def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int) -> DataFrame:
         hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
         return rows.join(hit, ["trial", "v"], "left").select("trial", "v", "rank", F.coalesce("hit", F.lit(False)).alias("active"), "fired")
 
-    state, _ = gas.run(start, step, most)
+    state, _ = gas.run(start, step, most, keep=gas.stored)
     return state
 
 

@@ -19,7 +19,7 @@ from . import gas
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Supersteps that the SQL unrolls: more than the queries' graphs need at the scale of the check. Beyond the last active
-#: vertex a superstep changes nothing.
+#: vertex a superstep changes nothing. BUDGET is the unrolling of the injected runs in the SQL only.
 UNROLL, HITS_STEPS, TRIALS, BUDGET = 26, 8, 6, 22
 
 CHAIN, CUT, FLOW, NATION, PARTS = "order_chain", "order_chain_cut", "purchase_flow", "nation_trade", "part_supplier"
@@ -124,7 +124,7 @@ def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges, source = _chain_source(spark, sf_dir)
     plan = res.trials(alg.sssp_trace(edges, source=F.lit(source)), TRIALS).persist()
-    return res.inject_sssp(edges, plan, source, BUDGET), alg.sssp(edges, source=F.lit(source))[0]
+    return res.inject_sssp(edges, plan, source), alg.sssp(edges, source=F.lit(source))[0]
 
 
 def _inject(spark: SparkSession, sf_dir: str) -> DataFrame:

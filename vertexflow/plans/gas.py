@@ -8,6 +8,7 @@ would otherwise double with each superstep, and the job outlives the executors t
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,15 +28,23 @@ def ensure_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def run(state: DataFrame, step: Step, most: int = MOST, watch: Callable[[DataFrame, int], None] | None = None) -> tuple[DataFrame, int]:
-    """The last state and the number of supersteps made; `watch` gets each state before its superstep."""
+def stored(state: DataFrame) -> DataFrame:
+    """The state as Parquet in the checkpoint folder, so that the planner knows its size: a checkpoint keeps the estimate of
+    its plan, which multiplies from superstep to superstep until the planner runs out of memory."""
+    path = f"{ensure_folder(state.sparkSession)}/state-{uuid.uuid4().hex}"
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
+def run(state: DataFrame, step: Step, most: int = MOST, watch: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda state: state.checkpoint()) -> tuple[DataFrame, int]:
+    """The last state and the number of supersteps made; `watch` gets each state before its superstep, `keep` stores each."""
     ensure_folder(state.sparkSession)
-    now, done = state.checkpoint(), 0
+    now, done = keep(state), 0
     while done < most and now.filter("active").limit(1).count():
         done += 1
         if watch:
             watch(now, done)
-        now = step(now, done).checkpoint()
+        now = keep(step(now, done))
     return now, done
 
 
