@@ -123,10 +123,89 @@ def test_injection_with_no_bit_is_masked(spark):
     assert out[1] == ("Masked", 0) and out[2][0] in ("SDC", "Masked")
 
 
+def brute_sssp(pairs, source, fault):
+    """Distances and whether the fault (iter, vertex, bit, phase) was reached, superstep by superstep."""
+
+    def flip(x, bit):
+        y = (x ^ (1 << bit)) & 0xFFFFFFFF
+        return y - (1 << 32) if y > compare.INF else y
+
+    vs = {v for p in pairs for v in p}
+    d, active, fired, k = {v: 0 if v == source else compare.INF for v in vs}, set(vs), 0, 0
+    while active:
+        k, old, changed = k + 1, dict(d), set()
+        for v in active - {source}:
+            at = fault[3] if fault[:2] == (k, v) else None
+            g = min([old[a] + 1 for a, b in pairs if b == v and old[a] < compare.INF], default=compare.INF)
+            new = min(old[v], flip(g, fault[2]) if at == "gather" else g)
+            d[v] = flip(new, fault[2]) if at == "apply" else new
+            if d[v] != old[v] and at != "scatter":
+                changed.add(v)
+            fired |= at in ("gather", "apply") or (at == "scatter" and d[v] != old[v])
+        active = {b for a, b in pairs if a in changed}
+    return d, int(fired)
+
+
+def brute_pagerank(pairs, fault):
+    import numpy as np
+
+    def flip(x, bit):
+        return float((np.array([x], np.float32).view(np.uint32) ^ np.uint32(1 << bit)).view(np.float32)[0])
+
+    vs, out = {v for p in pairs for v in p}, {}
+    for a, _ in pairs:
+        out[a] = out.get(a, 0) + 1
+    rank, active, fired, k = dict.fromkeys(vs, float(np.float32(0.15))), set(vs), 0, 0
+    while active:
+        k, old, changed = k + 1, dict(rank), set()
+        for v in active:
+            at = fault[3] if fault[:2] == (k, v) else None
+            phi = sum(old[a] / out[a] for a, b in pairs if b == v)
+            new = float(np.float32(0.15 + 0.85 * (flip(phi, fault[2]) if at == "gather" else phi)))
+            rank[v] = flip(new, fault[2]) if at == "apply" else new
+            moved = abs(rank[v] - old[v]) >= 0.01
+            if moved and at != "scatter":
+                changed.add(v)
+            fired |= at in ("gather", "apply") or (at == "scatter" and moved)
+        active = {b for a, b in pairs if a in changed}
+    return rank, int(fired)
+
+
+FAULTY = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 2), (2, 6)]
+#: iter, vertex, bit, phase; in the last but one scatter skips an unchanged vertex, in the last gather skips the source
+FAULTS = [(2, 3, b, p) for p in res.PHASES for b in (0, 30)] + [(1, 2, 31, "gather"), (3, 4, 2, "scatter"), (1, 4, 5, "scatter"), (1, 1, 3, "gather")]
+
+
+def fault_plan(spark):
+    return spark.createDataFrame([(i, *f) for i, f in enumerate(FAULTS)], "trial long, iter int, vertex long, bit int, phase string")
+
+
+def test_injected_phases_of_distances(spark):
+    got = res.inject_sssp(edges(spark, FAULTY), fault_plan(spark), 1).collect()
+    for i, f in enumerate(FAULTS):
+        d, fired = brute_sssp(FAULTY, 1, f)
+        rows = [r for r in got if r["trial"] == i]
+        assert ({r["v"]: r["d"] for r in rows}, max(r["fired"] for r in rows)) == (d, fired), f
+        assert not any(r["active"] for r in rows)
+
+
+def test_injected_phases_of_ranks(spark):
+    plan = fault_plan(spark).filter("bit <> 30")  # a rank of 1e37 takes hundreds of supersteps to settle
+    got = res.inject_pagerank(edges(spark, FAULTY), plan).collect()
+    for i in {r["trial"] for r in got}:
+        rank, fired = brute_pagerank(FAULTY, FAULTS[i])
+        rows = [r for r in got if r["trial"] == i]
+        assert {r["v"]: r["rank"] for r in rows} == pytest.approx(rank, rel=1e-5), FAULTS[i]
+        assert max(r["fired"] for r in rows) == fired and not any(r["active"] for r in rows)
+
+
 def test_injected_runs_end_on_their_own(spark, monkeypatch):
     from vertexflow.plans import catalog
 
     pairs = [(i, i + 1) for i in range(1, 27)]
     monkeypatch.setattr(graphs, "derived", lambda *_: edges(spark, pairs))
-    assert catalog._trials(spark, "").agg(F.max("iter")).head()[0] > catalog.BUDGET
-    assert [(r["fi_flag"], r["active"]) for r in catalog._inject(spark, "").collect()] == [(1, 0)] * catalog.TRIALS
+    plan = {r["trial"]: (r["iter"], r["vertex"], r["bit"], r["phase"]) for r in catalog._trials(spark, "").collect()}
+    assert max(f[0] for f in plan.values()) > catalog.BUDGET
+    for r in catalog._inject(spark, "").collect():
+        d, fired = brute_sssp(pairs, 1, plan[r["trial"]])
+        assert (r["fi_flag"], r["sum_d"], r["active"]) == (fired, sum(d.values()), 0)

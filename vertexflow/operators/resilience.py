@@ -65,29 +65,57 @@ def trials(trace: DataFrame, n: int, width: int = 32) -> DataFrame:
     return t.join(order, ["iter", "pick"]).select("trial", "iter", "vertex", "bit", F.lower(F.hex(mask(F.col("bit")))).alias("mask"), phase.alias("phase"))
 
 
+def _planned(plan: DataFrame) -> tuple[DataFrame, set[int]]:
+    """trial, iter, v, bit, phase of a plan (apply where it names no phase), and the supersteps in which a trial has its fault."""
+    phase = F.col("phase") if "phase" in plan.columns else F.lit("apply").alias("phase")
+    plan = plan.select("trial", "iter", F.col("vertex").alias("v"), "bit", phase).persist()
+    return plan, {r["iter"] for r in plan.select("iter").distinct().collect()}
+
+
+def _met(rows: DataFrame, plan: DataFrame, k: int, live: Column) -> DataFrame:
+    """Adds the bit and the phase (null for none) of the fault that meets a live row in superstep k."""
+    hits = F.broadcast(plan.filter((F.col("iter") == k) & F.col("bit").isNotNull()).select("trial", "v", "bit", F.col("phase").alias("at")))
+    return rows.join(hits, ["trial", "v"], "left").withColumn("at", F.when(live, F.col("at")))
+
+
+def _in(phase: str) -> Column:
+    return F.coalesce(F.col("at") == phase, F.lit(False))
+
+
+def _scattered(rows: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """The next state from rows with new values (trial, v, `value`, changed, fired, at).
+
+    A fault in scatter negates the activation of a changed vertex; it skips, and does not fire for, an unchanged one.
+    """
+    cut = _in("scatter") & F.col("changed")
+    fired = F.greatest("fired", (_in("gather") | _in("apply") | cut).cast("int"))
+    rows = rows.select("trial", "v", value, (F.col("changed") & ~cut).alias("changed"), fired.alias("fired"))
+    hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
+    return rows.join(hit, ["trial", "v"], "left").select("trial", "v", value, F.coalesce("hit", F.lit(False)).alias("active"), "fired")
+
+
 def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int = gas.MOST) -> DataFrame:
-    """trial, v, d, active, fired after all trials of `plan` (trial, iter, vertex, bit) ran for up to `most` supersteps.
+    """trial, v, d, active, fired after all trials of `plan` (trial, iter, vertex, bit, phase) ran for up to `most` supersteps.
 
-    The flip hits the new distance in the apply phase; it fires only for an active vertex other than the source. A trial
-    that is still active at the end ran out of its budget.
+    The flip hits the gathered distance, the new distance in apply, or the activation in scatter; it fires only for an active
+    vertex other than the source, in scatter only for a changed one. A trial that is still active at the end ran out of its
+    budget.
     """
     edges = edges.select("src", "dst").persist()
-    plan = plan.select("trial", "iter", F.col("vertex").alias("v"), "bit").persist()
+    plan, steps = _planned(plan)
     start = plan.select("trial").distinct().crossJoin(vertices(edges))  # every trial has a copy of the graph
     start = start.select("trial", "v", F.when(F.col("v") == source, 0).otherwise(INF).alias("d"), F.lit(True).alias("active"), F.lit(0).alias("fired"))
 
     def step(state: DataFrame, k: int) -> DataFrame:
         sent = state.filter(F.col("d") < INF).select("trial", F.col("v").alias("src"), (F.col("d") + 1).alias("x"))
         near = edges.join(sent, "src").groupBy("trial", F.col("dst").alias("v")).agg(F.min("x").alias("g"))
-        hits = plan.filter(F.col("iter") == k).select("trial", "v", "bit")
-        rows = state.join(near, ["trial", "v"], "left").join(hits, ["trial", "v"], "left")
         live = F.col("active") & (F.col("v") != source)
-        clean = F.when(live, F.least("d", F.coalesce("g", F.lit(INF)))).otherwise(F.col("d"))
-        rows = rows.withColumn("clean", clean).withColumn("fire", live & F.col("bit").isNotNull())
-        rows = rows.withColumn("new", F.when(F.col("fire"), flip_int(F.col("clean"), F.col("bit"))).otherwise(F.col("clean")))
-        rows = rows.select("trial", "v", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("changed"), F.greatest("fired", F.col("fire").cast("int")).alias("fired"))
-        hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
-        return rows.join(hit, ["trial", "v"], "left").select("trial", "v", "d", F.coalesce("hit", F.lit(False)).alias("active"), "fired")
+        rows = state.join(near, ["trial", "v"], "left").withColumn("g", F.coalesce("g", F.lit(INF)))
+        rows = _met(rows, plan, k, live) if k in steps else rows.withColumns({"bit": F.lit(None).cast("int"), "at": F.lit(None).cast("string")})
+        got = F.when(_in("gather"), flip_int(F.col("g"), F.col("bit"))).otherwise(F.col("g"))
+        rows = rows.withColumn("clean", F.when(live, F.least(F.col("d"), got)).otherwise(F.col("d")))
+        rows = rows.withColumn("new", F.when(_in("apply"), flip_int(F.col("clean"), F.col("bit"))).otherwise(F.col("clean")))
+        return _scattered(rows.select("trial", "v", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("changed"), "fired", "at"), edges, "d")
 
     state, _ = gas.run(start, step, most, keep=gas.stored)
     return state
@@ -102,25 +130,30 @@ def flip_float(value: pd.Series, bit: pd.Series) -> pd.Series:
 
 
 def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int = gas.MOST) -> DataFrame:
-    """trial, v, rank, active, fired, as inject_sssp does, flipping a bit of the new 32-bit rank."""
+    """trial, v, rank, active, fired, as inject_sssp does, flipping a bit of the gathered sum or of the new rank as 32-bit
+    floats, or the activation."""
     edges = edges.select("src", "dst")
     out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
     shared = edges.join(out, "src").persist()
-    plan = plan.select("trial", "iter", F.col("vertex").alias("v"), "bit").persist()
+    plan, steps = _planned(plan)
     start = plan.select("trial").distinct().crossJoin(vertices(edges))
     start = start.select("trial", "v", F.lit(REST).cast("float").alias("rank"), F.lit(True).alias("active"), F.lit(0).alias("fired"))
 
     def step(state: DataFrame, k: int) -> DataFrame:
         sent = shared.join(state.select("trial", F.col("v").alias("src"), "rank"), "src")
         phi = sent.groupBy("trial", F.col("dst").alias("v")).agg(F.sum(F.col("rank").cast("double") / F.col("out_deg")).alias("phi"))
-        hits = plan.filter(F.col("iter") == k).select("trial", "v", "bit")
-        rows = state.join(phi, ["trial", "v"], "left").join(hits, ["trial", "v"], "left")
-        rows = rows.withColumn("clean", F.when(F.col("active"), REST + DAMPING * F.coalesce("phi", F.lit(0.0))).otherwise(F.col("rank")).cast("float"))
-        rows = rows.withColumn("fire", F.col("active") & F.col("bit").isNotNull())
-        rows = rows.withColumn("new", flip_float("clean", F.when(F.col("fire"), F.col("bit"))))
-        rows = rows.select("trial", "v", F.col("new").alias("rank"), moved(F.col("new").cast("double"), F.col("rank").cast("double")).alias("changed"), F.greatest("fired", F.col("fire").cast("int")).alias("fired"))
-        hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
-        return rows.join(hit, ["trial", "v"], "left").select("trial", "v", "rank", F.coalesce("hit", F.lit(False)).alias("active"), "fired")
+        rows = state.join(phi, ["trial", "v"], "left").withColumn("phi", F.coalesce("phi", F.lit(0.0)))
+        if k in steps:
+            rows = _met(rows, plan, k, F.col("active"))
+            flipped = flip_float(F.col("phi").cast("float"), F.col("bit")).cast("double")
+            rows = rows.withColumn("phi", F.when(_in("gather"), flipped).otherwise(F.col("phi")))
+        else:
+            rows = rows.withColumn("at", F.lit(None).cast("string"))
+        rows = rows.withColumn("new", F.when(F.col("active"), REST + DAMPING * F.col("phi")).otherwise(F.col("rank")).cast("float"))
+        if k in steps:
+            rows = rows.withColumn("new", flip_float("new", F.when(_in("apply"), F.col("bit"))))
+        changed = moved(F.col("new").cast("double"), F.col("rank").cast("double"))
+        return _scattered(rows.select("trial", "v", F.col("new").alias("rank"), changed.alias("changed"), "fired", "at"), shared, "rank")
 
     state, _ = gas.run(start, step, most, keep=gas.stored)
     return state
