@@ -209,3 +209,17 @@ def test_injected_runs_end_on_their_own(spark, monkeypatch):
     for r in catalog._inject(spark, "").collect():
         d, fired = brute_sssp(pairs, 1, plan[r["trial"]])
         assert (r["fi_flag"], r["sum_d"], r["active"]) == (fired, sum(d.values()), 0)
+
+
+def test_ranks_injected_over_the_whole_run(spark, monkeypatch):
+    from vertexflow.plans import catalog
+
+    pairs, plans, inject = [(i, i + 1) for i in range(1, 27)], [], res.inject_pagerank
+    monkeypatch.setattr(graphs, "derived", lambda *_: edges(spark, pairs))
+    monkeypatch.setattr(res, "inject_pagerank", lambda e, plan, *most: plans.extend(plan.collect()) or inject(e, plan, *most))
+    got = catalog._float_inject(spark, "").collect()
+    assert max(r["iter"] for r in plans) > 6 and {r["phase"] for r in plans} == set(res.PHASES)
+    for f in plans:
+        rank, fired = brute_pagerank(pairs, (f["iter"], f["vertex"], f["bit"], f["phase"]))
+        rows = [r for r in got if r["trial"] == f["trial"]]
+        assert {r["v"]: r["rank"] for r in rows} == pytest.approx(rank, rel=1e-5) and max(r["fired"] for r in rows) == fired

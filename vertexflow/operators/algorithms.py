@@ -65,7 +65,7 @@ def sssp_trace(edges: DataFrame, **kw: object) -> DataFrame:
     return edges.sparkSession.read.parquet(path)
 
 
-def pagerank(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, watch: object = None) -> tuple[DataFrame, int]:
+def pagerank(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, watch: object = None, **kw: object) -> tuple[DataFrame, int]:
     """v and rank = 0.15 + 0.85 * sum(rank / out-degree) over in-neighbours, not normalised; only active vertices move."""
     edges = edges.select("src", "dst")
     out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
@@ -80,7 +80,7 @@ def pagerank(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, wa
         applied = applied.select("v", F.col("new").alias("rank"), moved(F.col("new"), F.col("rank")).alias("changed"), "active")
         return activated(applied, scattered(shared, applied)).select("v", "rank", "active")
 
-    state, done = gas.run(vs.select("v", F.lit(REST).alias("rank"), F.lit(True).alias("active")), step, most, watch)
+    state, done = gas.run(vs.select("v", F.lit(REST).alias("rank"), F.lit(True).alias("active")), step, most, watch, **kw)
     return state.select("v", "rank"), done
 
 

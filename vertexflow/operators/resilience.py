@@ -68,7 +68,7 @@ def trials(trace: DataFrame, n: int, width: int = 32) -> DataFrame:
 def _planned(plan: DataFrame) -> tuple[DataFrame, set[int]]:
     """trial, iter, v, bit, phase of a plan (apply where it names no phase), and the supersteps in which a trial has its fault."""
     phase = F.col("phase") if "phase" in plan.columns else F.lit("apply").alias("phase")
-    plan = plan.select("trial", "iter", F.col("vertex").alias("v"), "bit", phase).persist()
+    plan = gas.stored(plan.select("trial", "iter", F.col("vertex").alias("v"), "bit", phase))
     return plan, {r["iter"] for r in plan.select("iter").distinct().collect()}
 
 
@@ -101,7 +101,7 @@ def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int = gas.
     vertex other than the source, in scatter only for a changed one. A trial that is still active at the end ran out of its
     budget.
     """
-    edges = edges.select("src", "dst").persist()
+    edges = gas.stored(edges.select("src", "dst"))
     plan, steps = _planned(plan)
     start = plan.select("trial").distinct().crossJoin(vertices(edges))  # every trial has a copy of the graph
     start = start.select("trial", "v", F.when(F.col("v") == source, 0).otherwise(INF).alias("d"), F.lit(True).alias("active"), F.lit(0).alias("fired"))
@@ -134,7 +134,7 @@ def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int = gas.MOST) ->
     floats, or the activation."""
     edges = edges.select("src", "dst")
     out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
-    shared = edges.join(out, "src").persist()
+    shared = gas.stored(edges.join(out, "src"))
     plan, steps = _planned(plan)
     start = plan.select("trial").distinct().crossJoin(vertices(edges))
     start = start.select("trial", "v", F.lit(REST).cast("float").alias("rank"), F.lit(True).alias("active"), F.lit(0).alias("fired"))

@@ -137,11 +137,13 @@ def _classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _float_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graphs.derived(spark, sf_dir, CHAIN).persist()
+    edges = gas.stored(graphs.derived(spark, sf_dir, CHAIN))
     watch, path = alg.watch_frontier(edges)
-    alg.pagerank(edges, most=6, watch=watch)
-    plan = res.trials(spark.read.parquet(path), 4)
-    return res.inject_pagerank(edges, plan, 12).select("trial", "v", "rank", "fired")
+    alg.pagerank(edges, watch=watch, keep=gas.stored)
+    # the drawn phase is always gather; in turn, all three are tried
+    phase = F.element_at(F.array(*map(F.lit, res.PHASES)), (1 + F.col("trial") % 3).cast("int"))
+    plan = res.trials(spark.read.parquet(path), 4).withColumn("phase", phase)
+    return res.inject_pagerank(edges, plan).select("trial", "v", "rank", "fired")
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
