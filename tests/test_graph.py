@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from vertexflow.functions import compare
 from vertexflow.operators import algorithms as alg
+from vertexflow.operators import campaign as camp
 from vertexflow.operators import resilience as res
 from vertexflow.operators import topology as top
 from vertexflow.sources import graphs
@@ -117,10 +118,9 @@ def test_log(spark):
 
 def test_injection_with_no_bit_is_masked(spark):
     e = edges(spark, CYCLE)
-    plan = spark.createDataFrame([(1, 2, 2, None), (2, 2, 2, 4)], "trial long, iter int, vertex long, bit int")
-    state = res.inject_sssp(e, plan, 1, 20)
-    out = {r["trial"]: (r["outcome"], r["fi_flag"]) for r in res.value_metrics(state, alg.sssp(e)[0]).collect()}
-    assert out[1] == ("Masked", 0) and out[2][0] in ("SDC", "Masked")
+    plan = spark.createDataFrame([(1, 2, 2, None, "apply", "d"), (2, 2, 3, 4, "apply", "d")], "trial long, iter int, vertex long, bit int, kernel string, register string")
+    out = {r["trial"]: (r["outcome"], r["fi_flag"]) for r in camp.classified(camp.Injected(camp.Golden(camp.app("SSSP", 1), e), plan)).collect()}
+    assert out[1] == ("Masked", 0) and out[2][0] in ("SDC", "Masked") and out[2][1] == 1
 
 
 def brute_sssp(pairs, source, fault):
@@ -155,13 +155,13 @@ def brute_pagerank(pairs, fault):
     vs, out = {v for p in pairs for v in p}, {}
     for a, _ in pairs:
         out[a] = out.get(a, 0) + 1
-    rank, active, fired, k = dict.fromkeys(vs, float(np.float32(0.15))), set(vs), 0, 0
+    rank, active, fired, k = dict.fromkeys(vs, 0.15), set(vs), 0, 0
     while active:
         k, old, changed = k + 1, dict(rank), set()
         for v in active:
             at = fault[3] if fault[:2] == (k, v) else None
             phi = sum(old[a] / out[a] for a, b in pairs if b == v)
-            new = float(np.float32(0.15 + 0.85 * (flip(phi, fault[2]) if at == "gather" else phi)))
+            new = 0.15 + 0.85 * (flip(phi, fault[2]) if at == "gather" else phi)
             rank[v] = flip(new, fault[2]) if at == "apply" else new
             moved = abs(rank[v] - old[v]) >= 0.01
             if moved and at != "scatter":
@@ -173,53 +173,138 @@ def brute_pagerank(pairs, fault):
 
 FAULTY = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 2), (2, 6)]
 #: iter, vertex, bit, phase; in the last but one scatter skips an unchanged vertex, in the last gather skips the source
-FAULTS = [(2, 3, b, p) for p in res.PHASES for b in (0, 30)] + [(1, 2, 31, "gather"), (3, 4, 2, "scatter"), (1, 4, 5, "scatter"), (1, 1, 3, "gather")]
+FAULTS = [(2, 3, b, p) for p in camp.PHASES for b in (0, 30)] + [(1, 2, 31, "gather"), (3, 4, 2, "scatter"), (1, 4, 5, "scatter"), (1, 1, 3, "gather")]
 
 
-def fault_plan(spark):
-    return spark.createDataFrame([(i, *f) for i, f in enumerate(FAULTS)], "trial long, iter int, vertex long, bit int, phase string")
+def injected(spark, app, pairs, faults, registers, patience=20):
+    rows = [(i, *f, registers[f[3]]) for i, f in faults.items()]
+    plan = spark.createDataFrame(rows, "trial long, iter int, vertex long, bit int, kernel string, register string")
+    return camp.Injected(camp.Golden(app, edges(spark, pairs)), plan, patience)
 
 
 def test_injected_phases_of_distances(spark):
-    got = res.inject_sssp(edges(spark, FAULTY), fault_plan(spark), 1).collect()
+    runs = injected(spark, camp.app("SSSP", 1), FAULTY, dict(enumerate(FAULTS)), {"gather": "g", "apply": "d", "scatter": "changed"})
+    got, flags = runs.whole(runs.runs.select("trial")).collect(), {r["trial"]: (r["fi_flag"], r["late"]) for r in runs.runs.collect()}
     for i, f in enumerate(FAULTS):
         d, fired = brute_sssp(FAULTY, 1, f)
-        rows = [r for r in got if r["trial"] == i]
-        assert ({r["v"]: r["d"] for r in rows}, max(r["fired"] for r in rows)) == (d, fired), f
-        assert not any(r["active"] for r in rows)
+        assert ({r["v"]: r["d"] for r in got if r["trial"] == i}, *flags[i]) == (d, fired, False), f
 
 
 def test_injected_phases_of_ranks(spark):
-    plan = fault_plan(spark).filter("bit <> 30")  # a rank of 1e37 takes hundreds of supersteps to settle
-    got = res.inject_pagerank(edges(spark, FAULTY), plan).collect()
-    for i in {r["trial"] for r in got}:
+    # a rank of 1e37 takes hundreds of supersteps to settle
+    runs = injected(spark, camp.app("PageRank"), FAULTY, {i: f for i, f in enumerate(FAULTS) if f[2] != 30}, {"gather": "phi", "apply": "rank", "scatter": "changed"})
+    got, flags = runs.whole(runs.runs.select("trial")).collect(), {r["trial"]: r["fi_flag"] for r in runs.runs.collect()}
+    for i in flags:
         rank, fired = brute_pagerank(FAULTY, FAULTS[i])
-        rows = [r for r in got if r["trial"] == i]
-        assert {r["v"]: r["rank"] for r in rows} == pytest.approx(rank, rel=1e-5), FAULTS[i]
-        assert max(r["fired"] for r in rows) == fired and not any(r["active"] for r in rows)
-
-
-def test_injected_runs_end_on_their_own(spark, monkeypatch):
-    from vertexflow.plans import catalog
-
-    pairs = [(i, i + 1) for i in range(1, 27)]
-    monkeypatch.setattr(graphs, "derived", lambda *_: edges(spark, pairs))
-    plan = {r["trial"]: (r["iter"], r["vertex"], r["bit"], r["phase"]) for r in catalog._trials(spark, "").collect()}
-    assert max(f[0] for f in plan.values()) > catalog.BUDGET
-    for r in catalog._inject(spark, "").collect():
-        d, fired = brute_sssp(pairs, 1, plan[r["trial"]])
-        assert (r["fi_flag"], r["sum_d"], r["active"]) == (fired, sum(d.values()), 0)
-
-
-def test_ranks_injected_over_the_whole_run(spark, monkeypatch):
-    from vertexflow.plans import catalog
-
-    pairs, plans, inject = [(i, i + 1) for i in range(1, 27)], [], res.inject_pagerank
-    monkeypatch.setattr(graphs, "derived", lambda *_: edges(spark, pairs))
-    monkeypatch.setattr(res, "inject_pagerank", lambda e, plan, *most: plans.extend(plan.collect()) or inject(e, plan, *most))
-    got = catalog._float_inject(spark, "").collect()
-    assert max(r["iter"] for r in plans) > 6 and {r["phase"] for r in plans} == set(res.PHASES)
-    for f in plans:
-        rank, fired = brute_pagerank(pairs, (f["iter"], f["vertex"], f["bit"], f["phase"]))
-        rows = [r for r in got if r["trial"] == f["trial"]]
-        assert {r["v"]: r["rank"] for r in rows} == pytest.approx(rank, rel=1e-5) and max(r["fired"] for r in rows) == fired
+        assert {r["v"]: r["rank"] for r in got if r["trial"] == i} == pytest.approx(rank, rel=1e-5), FAULTS[i]
+        assert flags[i] == fired
+
+
+def test_a_run_out_of_patience_is_due(spark):
+    runs = injected(spark, camp.app("PageRank"), FAULTY, {1: (2, 3, 30, "apply"), 2: (2, 3, 0, "scatter")}, {"apply": "rank", "scatter": "changed"}, 2)
+    out = {r["trial"]: (r["outcome"], r["metric1"], r["supersteps"]) for r in camp.classified(runs).collect()}
+    assert out[1] == ("DUE", 0, runs.budget) and out[2][0] != "DUE"
+
+
+def test_log_of_a_campaign(spark):
+    """Golden run, draws, injection and comparison of two programs, through the log and its roll-ups."""
+    e = edges(spark, FAULTY)
+    records = camp.campaign(camp.app("SSSP", 1), e, 8).unionByName(camp.campaign(camp.app("SCC"), e, 8))
+    lines = [r["value"] for r in camp.log_lines(records).collect()]
+    good, bad = res.parsed_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert bad.count() == 0
+    key = ["app", "trial", "kernel", "iter", "vertex", "bit", "mask", "line", "register", "loop", "outcome", "metric1"]
+    assert sorted(map(tuple, good.select(key).collect())) == sorted(map(tuple, records.select(key).collect()))
+    assert {r["kernel"] for r in records.collect()} == set(camp.PHASES)
+    counted = res.ratios(res.rollup(res.tolerant(res.flagged(good)), ("app",))).collect()
+    assert all(r["masked_ratio"] + r["sdc_ratio"] + r["due_ratio"] == pytest.approx(1) for r in counted)
+    assert len(res.write_tsvs(res.tolerant(res.flagged(good)), compare.stored(records).inputFiles()[0].rsplit("/", 2)[0] + "/rollups")) == 7
+
+
+def brute_groups(near):
+    """Groups as sets grown by recursion, as the definition reads."""
+    found = set()
+
+    def grow(group, last):
+        for w in near[last]:
+            if w not in group and all(w in near[m] for m in group):
+                group.append(w)
+                grow(group, w)
+        return group
+
+    for v in near:
+        for w in near[v]:
+            found.add(tuple(sorted(grow([v, w], w))))
+    return sorted(found)
+
+
+def brute_cover(groups):
+    left, out = [set(g) for g in groups], []
+    for v in range(max((max(g) for g in groups), default=0) + 1):
+        having = [g for g in left if v in g]
+        if having:
+            size = max(map(len, having))
+            best = next(g for g in having if len(g) == size)
+            out.append(sorted(best))
+            left = [g - best for g in left if g is not best]
+            left = [g for g in left if len(g) > 1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_and_cover(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = sorted({tuple(sorted(rng.sample(range(1, 15), 2))) for _ in range(28)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    for a, b in pairs:
+        near.setdefault(b, []).append(a)
+    near = {v: sorted(near[v]) for v in sorted(near)}
+    frame = spark.createDataFrame(pairs, "v1 long, v2 long")
+    want = brute_groups(near)
+    assert sorted(tuple(r["members"]) for r in top.similarity_groups(frame).collect()) == want
+    assert sorted(r["members"] for r in top.group_cover(frame).collect()) == sorted(brute_cover(want))
+    assert [tuple(r["members"]) for r in top.numbered(top.similarity_groups(frame)).orderBy("number").collect()] == want
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = {(rng.randint(1, 25), rng.choice([1, 1, 1, *range(2, 12)])) for _ in range(150)}
+    pairs |= {(rng.randint(1, 6), v) for v in range(1, 26) for _ in range(2)}
+    out, into = {}, {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+    for t in (0.2, 0.5, 0.6):
+        want = set()
+        for a in out:
+            for b in out:
+                if a < b and a in into and b in into:
+                    i, o = (len(s[a] & s[b]) / len(s[a] | s[b]) for s in (into, out))
+                    if i >= t and o >= t:
+                        want.add((a, b))
+        assert {(r["v1"], r["v2"]) for r in top.similar_pairs(edges(spark, sorted(pairs)), t).collect()} == want
+
+
+def test_ranges_of_a_heavy_tail_are_even(spark):
+    scores = spark.range(4000).select(F.col("id").alias("v"), F.pow(F.lit(0.5), F.col("id") % 40).alias("score"))
+    got = compare.ranked(scores, "score").collect()
+    want = sorted(((r["v"], r["score"]) for r in scores.collect()), key=lambda x: (-x[1], x[0]))
+    assert [v for v, _ in want] == [r["v"] for r in sorted(got, key=lambda r: r["pos"])]
+
+
+def test_hits_without_an_edge(spark):
+    rows = alg.hits(edges(spark, [(1, 2)]).filter("src = 0"), spark.createDataFrame([(1,), (2,)], "v long"), most=3)[0].collect()
+    assert [r["authority"] for r in rows] == [None, None]
+    assert alg.sssp(edges(spark, [(1, 2)]).filter("src = 0"))[0].count() == 0
+
+
+def test_nothing_is_left_behind(spark):
+    before = spark.catalog.listTables()
+    alg.pagerank(edges(spark, CYCLE))
+    assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before]

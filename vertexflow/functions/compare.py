@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import stored
+
 INF = 2147483647
 
 
@@ -21,26 +23,22 @@ def relative_l2(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return joined.agg((F.sqrt(F.sum((F.col("x") - F.col("y")) ** 2)) / F.nullif(F.sqrt(F.sum(F.col("x") ** 2)), F.lit(0.0))).alias("rel_l2"))
 
 
-#: Ranks are dealt out within this many slices of the score range.
-SLICES = 512
-
-
-def ranked(scores: DataFrame, score: str) -> DataFrame:
-    """pos and v by falling score, ties by vertex; a NaN counts as the least score.
+def ranked(scores: DataFrame, score: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """pos and v by falling score, ties by vertex; a NaN or null counts as the least score. within: columns whose values have
+    a ranking each.
 
-    Slices of the score range are ranked on their own and then shifted by the size of the slices above.
+    Rows are dealt by ranges of (score, vertex) that a sample makes equally large, so no task ranks more than its share,
+    whatever the distribution; the positions of a range start after those of the ranges before.
     """
-    s = F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(F.col(score))
-    rows = scores.select("v", s.alias("_s"))
-    finite = F.when(F.abs("_s") != float("inf"), F.col("_s"))
-    ends = rows.agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.coalesce(F.floor((F.col("_hi") - F.col("_s")) / width * SLICES).cast("int"), F.lit(0))
-    slice_of = F.when(F.col("_s") == float("-inf"), SLICES + 1).when(F.col("_s") == float("inf"), -1).otherwise(place)
-    rows = rows.crossJoin(F.broadcast(ends)).select("v", "_s", slice_of.alias("_b"))  # one row
-    above = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
-    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("_s"), "v")))
-    return own.join(F.broadcast(above.select("_b", "_before")), "_b").select((F.col("_r") + F.col("_before")).alias("pos"), "v")
+    s = F.when(F.isnan(score) | F.col(score).isNull(), F.lit(float("-inf"))).otherwise(F.col(score))
+    order = [*within, F.desc("_s"), "v"]
+    rows = scores.select(*within, "v", s.alias("_s")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    rows = stored(rows)
+    sizes = rows.groupBy("_part", *within).agg(F.count("*").alias("_n"))  # a row for each range, and for each ranking in it
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_part")) - F.col("_n")
+    sizes = sizes.withColumn("_before", before).drop("_n")
+    own = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_part", *within).orderBy(F.desc("_s"), "v")))
+    return own.join(sizes, ["_part", *within]).select(*within, (F.col("_r") + F.col("_before")).alias("pos"), "v")
 
 
 def mask(bit: Column) -> Column:
@@ -54,5 +52,12 @@ def flip_int(value: Column, bit: Column) -> Column:
 
 
 def draw(trial: Column, salt: int, n: Column) -> Column:
-    """A repeatable choice among 0 .. n - 1."""
-    return F.pmod(trial.cast("long") * 1103515245 + salt, n.cast("long"))
+    """A repeatable choice among 0 .. n - 1, from the first 48 bits of the md5 of trial and salt."""
+    digest = F.md5(F.concat_ws(":", trial.cast("string"), F.lit(str(salt))).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n.cast("long"))
+
+
+def flip_float(value: Column, bit: Column) -> Column:
+    """A 32-bit float with one bit flipped, within the JVM."""
+    raw = F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), value.cast("float")).cast("int")
+    return F.reflect(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), flip_int(raw, bit)).cast("float")

@@ -2,119 +2,125 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compare import INF
-from ..plans import gas
-from ..plans.gas import MOST, Step, activated, gathered, scattered
+from ..plans.gas import MOST, Graph, Program, Watch, Way, run
+from ..plans.storage import new_path, stored
 from ..sources.graphs import degrees, symmetrise, vertices
 
 DAMPING, REST, TOLERANCE = 0.85, 0.15, 0.01
 
+def moved(new: str, old: str) -> str:
+    """SQL: whether a score changed by the tolerance or more; a NaN counts as unchanged."""
+    return f"abs({new} - {old}) >= {TOLERANCE}D AND NOT isnan({new} - {old})"
 
-def moved(new: Column, old: Column) -> Column:
-    """Whether a score changed by the tolerance or more; a NaN counts as unchanged."""
-    d = F.abs(new - old)
-    return F.coalesce((d >= TOLERANCE) & ~F.isnan(d), F.lit(False))
 
+def sssp_program(source: object) -> Program:
+    return Program(
+        (Way(f"IF(d < {INF}, d + 1, NULL)", "min", "g"),),
+        {"d": f"IF(v = {source}, d, least(d, coalesce(g, {INF})))"},
+        {"changed": "new_d <> d"},
+        push=True,
+    )
 
-def watch_frontier(edges: DataFrame) -> tuple[object, str]:
+
+def pagerank_program() -> Program:
+    return Program((Way("rank * part", "sum", "phi"),), {"rank": f"{REST}D + {DAMPING}D * coalesce(phi, 0D)"}, {"changed": moved("new_rank", "rank")})
+
+
+def hits_program(dense: bool = False) -> Program:
+    """Rows are stored with the gathered sums; the norms are observed with them, and the state is read through both.
+
+    An inactive vertex keeps its scores while its last value goes on being counted in the norm and divided by it.
+    """
+    ways = (Way("h", "sum", "ga", flag="ch"), Way("a", "sum", "gh", "dst", "src", "ca"))
+    moves = (lambda new, old: f"abs({new} - {old}) > {TOLERANCE}D") if dense else moved
+
+    def state(table: str, seen: dict) -> str:
+        # as a row and not as literals, so that the compiled code serves every superstep
+        norms = ", ".join(f"CAST('{float(seen[c] or 0)!r}' AS DOUBLE)" for c in ("av", "hv"))
+        rows = f"SELECT v, a, h, active, av / nullif(na, 0D) AS av, hv / nullif(nh, 0D) AS hv FROM {table} CROSS JOIN (VALUES ({norms}) AS norms(na, nh))"
+        rows = f"SELECT *, IF(active, av, a) AS new_a, IF(active, hv, h) AS new_h FROM ({rows})"
+        flags = ", ".join(f"coalesce({moves(f'new_{c}', c)}, false) AS c{c}" for c in "ah")
+        return f"SELECT v, new_a AS a, new_h AS h, av, hv, {flags}, active FROM ({rows})"
+
+    norms = {c: f"sqrt(sum({c} * {c}))" for c in ("av", "hv")}
+    apply = {"av": "coalesce(ga, 0D)", "hv": "coalesce(gh, 0D)"}
+    return Program(ways, apply, {"ca": "true", "ch": "true"}, dense=dense, observe=norms, state=state)
+
+
+def label_program(larger_only: bool = False) -> Program:
+    """The least label that edges bring. larger_only: a changed vertex makes only neighbours of a larger label active."""
+    return Program((Way("label", "min", "g"),), {"label": "least(label, g)"}, {"changed": "new_label < label"}, active="hit AND g < label" if larger_only else "hit", push=True)
+
+
+def with_shares(edges: DataFrame) -> DataFrame:
+    """src, dst and part, one over the out-degree of src."""
+    edges = edges.select("src", "dst")
+    out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
+    return edges.join(out, "src").select("src", "dst", (1.0 / F.col("out_deg")).alias("part"))
+
+
+def frontier_log(edges: DataFrame) -> tuple[Watch, str]:
     """A watcher that appends (iter, vertex) of every active vertex to a folder, and the folder."""
-    path = f"{gas.ensure_folder(edges.sparkSession)}/frontier-{uuid.uuid4().hex}"
+    path = new_path(edges.sparkSession, "frontier")
 
     def watch(state: DataFrame, step: int) -> None:
-        state.filter("active").select(F.lit(step).alias("iter"), F.col("v").alias("vertex")).coalesce(1).write.mode("append").parquet(path)
+        state.filter("active").select(F.lit(step).alias("iter"), F.col("v").alias("vertex")).write.mode("append").parquet(path)
 
     return watch, path
 
 
-def sssp_state(vs: DataFrame, source: Column) -> DataFrame:
-    return vs.select("v", F.when(F.col("v") == source, 0).otherwise(INF).alias("d"), F.lit(True).alias("active"))
+def traced(edges: DataFrame, algorithm: Callable[..., tuple[DataFrame, int]], **kw: object) -> DataFrame:
+    """iter and vertex: the vertices that were active in each superstep of `algorithm` over the edges."""
+    watch, path = frontier_log(edges)
+    algorithm(edges, watch=watch, **kw)
+    return edges.sparkSession.read.schema(f"iter int, vertex {dict(edges.dtypes)['src']}").parquet(path)
 
 
-def sssp_step(edges: DataFrame, source: Column) -> Step:
-    def step(state: DataFrame, _: int) -> DataFrame:
-        near = gathered(edges, state, F.when(F.col("d") < INF, F.col("d") + 1), F.min, "g")
-        new = F.when(F.col("active") & (F.col("v") != source), F.least("d", F.coalesce("g", F.lit(INF)))).otherwise(F.col("d"))
-        applied = state.join(near, "v", "left").withColumn("new", new).select("v", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("changed"), "active")
-        return activated(applied, scattered(edges, applied)).select("v", "d", "active")
+def least_vertex(vs: DataFrame) -> object:
+    return vs.agg(F.min("v")).head()[0]
 
-    return step
 
+def _ran(graph: Graph, start: DataFrame, program: Program, most: int, watch: Watch | None) -> tuple[DataFrame, int]:
+    try:
+        return run(graph, start, program, most, watch)
+    finally:
+        graph.drop()
 
-def least_vertex(vs: DataFrame) -> Column:
-    return F.lit(vs.agg(F.min("v")).head()[0])
 
-
-def sssp(edges: DataFrame, vs: DataFrame | None = None, source: Column | None = None, most: int = MOST, watch: object = None) -> tuple[DataFrame, int]:
+def sssp(edges: DataFrame, vs: DataFrame | None = None, source: object = None, most: int = MOST, watch: Watch | None = None) -> tuple[DataFrame, int]:
     """v and dist (hops from the source, by default the least vertex; 2147483647 where it doesn't lead), and the supersteps."""
-    edges = edges.select("src", "dst").persist()
-    vs = vertices(edges) if vs is None else vs
+    graph = Graph(edges.select("src", "dst"))
+    vs = vertices(graph.edges) if vs is None else vs
     source = least_vertex(vs) if source is None else source
-    state, done = gas.run(sssp_state(vs, source), sssp_step(edges, source), most, watch)
+    source = "NULL" if source is None else source
+    start = vs.select("v", F.expr(f"IF(v = {source}, 0, {INF}) AS d"), F.lit(True).alias("changed"))
+    state, done = _ran(graph, start, sssp_program(source), most, watch)
     return state.select("v", F.col("d").alias("dist")), done
 
 
-def sssp_trace(edges: DataFrame, **kw: object) -> DataFrame:
-    """iter and vertex: the active vertices before each superstep."""
-    watch, path = watch_frontier(edges)
-    sssp(edges, watch=watch, **kw)
-    return edges.sparkSession.read.parquet(path)
-
-
-def pagerank(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, watch: object = None, **kw: object) -> tuple[DataFrame, int]:
+def pagerank(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, watch: Watch | None = None) -> tuple[DataFrame, int]:
     """v and rank = 0.15 + 0.85 * sum(rank / out-degree) over in-neighbours, not normalised; only active vertices move."""
-    edges = edges.select("src", "dst")
-    out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
-    shared = edges.join(out, "src").select("src", "dst", (1.0 / F.col("out_deg")).alias("part")).persist()
-    vs = vertices(edges) if vs is None else vs
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        sent = shared.join(state.select(F.col("v").alias("src"), "rank"), "src")
-        phi = sent.groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") * F.col("part")).alias("phi"))
-        new = F.when(F.col("active"), REST + DAMPING * F.coalesce("phi", F.lit(0.0))).otherwise(F.col("rank"))
-        applied = state.join(phi, "v", "left").withColumn("new", new)
-        applied = applied.select("v", F.col("new").alias("rank"), moved(F.col("new"), F.col("rank")).alias("changed"), "active")
-        return activated(applied, scattered(shared, applied)).select("v", "rank", "active")
-
-    state, done = gas.run(vs.select("v", F.lit(REST).alias("rank"), F.lit(True).alias("active")), step, most, watch, **kw)
+    graph = Graph(with_shares(edges))
+    vs = vertices(graph.edges) if vs is None else vs
+    start = vs.select("v", F.lit(REST).alias("rank"), F.lit(True).alias("changed"))
+    state, done = _ran(graph, start, pagerank_program(), most, watch)
     return state.select("v", "rank"), done
 
 
-def _normalised(values: DataFrame) -> DataFrame:
-    """authority_value and hub_value of all rows over their L2 norms (null where a norm is zero)."""
-    norms = values.agg(F.sqrt(F.sum(F.col("av") * F.col("av"))).alias("na"), F.sqrt(F.sum(F.col("hv") * F.col("hv"))).alias("nh"))
-    over = values.crossJoin(F.broadcast(norms))  # one row
-    return over.withColumns({"av": F.col("av") / F.nullif(F.col("na"), F.lit(0.0)), "hv": F.col("hv") / F.nullif(F.col("nh"), F.lit(0.0))}).drop("na", "nh")
-
-
-def hits(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, dense: bool = False) -> tuple[DataFrame, int]:
-    """v, authority and hub. In the frontier form an inactive vertex keeps its scores while its last value goes on being
-    counted in the norm and divided by it; it may never settle, so give `most`. In the dense form every vertex takes part
-    until no score moves by more than the tolerance."""
-    edges = edges.select("src", "dst").persist()
-    vs = vertices(edges) if vs is None else vs
-    start = vs.select("v", *[F.lit(1.0).alias(c) for c in ("a", "h", "av", "hv")], F.lit(True).alias("active"))
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        ga = gathered(edges, state, F.col("h"), F.sum, "ga")
-        gh = gathered(edges, state, F.col("a"), F.sum, "gh", ("dst", "src"))
-        values = state.join(ga, "v", "left").join(gh, "v", "left")
-        values = values.withColumns({c: F.when(F.col("active"), F.coalesce(g, F.lit(0.0))).otherwise(F.col(c)) for c, g in (("av", "ga"), ("hv", "gh"))})
-        values = _normalised(values.drop("ga", "gh"))
-        new = values.withColumns({n: F.when(F.col("active"), F.col(v)).otherwise(F.col(o)) for n, v, o in (("na", "av", "a"), ("nh", "hv", "h"))})
-        if dense:
-            over = (F.abs(F.col("na") - F.col("a")) > TOLERANCE) | (F.abs(F.col("nh") - F.col("h")) > TOLERANCE)
-            any_moved = new.agg(F.coalesce(F.max(over), F.lit(False)).alias("go"))
-            return new.crossJoin(F.broadcast(any_moved)).select("v", F.col("na").alias("a"), F.col("nh").alias("h"), "av", "hv", F.col("go").alias("active"))  # one row
-        new = new.select("v", F.col("na").alias("a"), F.col("nh").alias("h"), "av", "hv", "active", moved(F.col("na"), F.col("a")).alias("ca"), moved(F.col("nh"), F.col("h")).alias("ch"))
-        hit = scattered(edges, new, "ca", ("dst", "src")).union(scattered(edges, new, "ch")).distinct()
-        return activated(new, hit).select("v", "a", "h", "av", "hv", "active")
-
-    state, done = gas.run(start, step, most)
+def hits(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, dense: bool = False, watch: Watch | None = None) -> tuple[DataFrame, int]:
+    """v, authority and hub. The frontier form may never settle, so give `most`. In the dense form every vertex takes part
+    until no score moves by more than the tolerance. Without an edge both scores are null: their norm is zero."""
+    graph = Graph(edges.select("src", "dst"))
+    vs = vertices(graph.edges) if vs is None else vs
+    start = vs.select("v", *[F.lit(1.0).alias(c) for c in ("a", "h", "av", "hv")], F.lit(True).alias("ca"), F.lit(True).alias("ch"))
+    state, done = _ran(graph, start, hits_program(dense), most, watch)
     return state.select("v", F.col("a").alias("authority"), F.col("h").alias("hub")), done
 
 
@@ -123,37 +129,34 @@ def hits_score(scores: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, vs: DataFrame | None = None) -> DataFrame:
-    """a, b for every b that a leads to, itself included: as many rows as there are such pairs, for small graphs."""
-    edges = edges.select("src", "dst").distinct().persist()
-    gas.ensure_folder(edges.sparkSession)
+    """a, b for every b that a leads to, itself included: as many rows as there are such pairs, for small graphs.
+
+    Each turn writes the pairs that are new beside those known; none is written twice.
+    """
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "reach")
+    edges = stored(edges.select("src", "dst").distinct())
     vs = vertices(edges) if vs is None else vs
-    known = vs.select(F.col("v").alias("a"), F.col("v").alias("b")).checkpoint()
-    last = known
-    while True:
+    last = stored(vs.select(F.col("v").alias("a"), F.col("v").alias("b")))
+    turn = 0
+    while not last.isEmpty():
+        last.write.parquet(f"{path}/turn={turn}")
+        known = spark.read.schema(last.schema).option("recursiveFileLookup", True).parquet(path)
         ahead = last.join(edges, last["b"] == edges["src"]).select("a", F.col("dst").alias("b")).distinct()
-        new = ahead.join(known, ["a", "b"], "left_anti").checkpoint()
-        if new.isEmpty():
-            return known
-        known, last = known.union(new).checkpoint(), new
-
-
-def least_labels(edges: DataFrame, vs: DataFrame, both: bool) -> DataFrame:
-    """v and label: the least vertex from which edges (in both directions if `both`) lead to v."""
-    ways = (symmetrise(edges.select("src", "dst")) if both else edges.select("src", "dst")).distinct().persist()
+        last, turn = stored(ahead.join(known, ["a", "b"], "left_anti")), turn + 1
+    return spark.read.schema(last.schema).option("recursiveFileLookup", True).parquet(path) if turn else last
 
-    def step(state: DataFrame, _: int) -> DataFrame:
-        sent = state.filter("active").select(F.col("v").alias("src"), "label")
-        least = ways.join(sent, "src").groupBy(F.col("dst").alias("v")).agg(F.min("label").alias("g"))
-        lower = F.coalesce(F.col("g") < F.col("label"), F.lit(False))
-        return state.join(least, "v", "left").select("v", F.least("label", "g").alias("label"), lower.alias("active"))
 
-    state, _ = gas.run(vs.select("v", F.col("v").alias("label"), F.lit(True).alias("active")), step)
-    return state.select("v", "label")
+def least_labels(edges: DataFrame, vs: DataFrame, both: bool, watch: Watch | None = None) -> tuple[DataFrame, int]:
+    """v and label: the least vertex from which edges (in both directions if `both`) lead to v; and the supersteps."""
+    ways = (symmetrise(edges.select("src", "dst")) if both else edges.select("src", "dst")).distinct()
+    start = vs.select("v", F.col("v").alias("label"), F.lit(True).alias("changed"))
+    state, done = _ran(Graph(ways), start, label_program(), MOST, watch)
+    return state.select("v", "label"), done
 
 
 def components(edges: DataFrame, vs: DataFrame | None = None) -> DataFrame:
     """v and label: the least vertex of its weakly connected component."""
-    return least_labels(edges, vertices(edges) if vs is None else vs, True)
+    return least_labels(edges, vertices(edges) if vs is None else vs, True)[0]
 
 
 def scc(edges: DataFrame, vs: DataFrame | None = None) -> DataFrame:
@@ -163,33 +166,40 @@ def scc(edges: DataFrame, vs: DataFrame | None = None) -> DataFrame:
     its component. Found components go, and so do vertices without an edge in or out, until none is left. No table of
     reachable pairs is made.
     """
-    edges = edges.filter("src <> dst").select("src", "dst").distinct().persist()
-    gas.ensure_folder(edges.sparkSession)
-    left = (vertices(edges) if vs is None else vs.select("v")).checkpoint()
+    edges = stored(edges.filter("src <> dst").select("src", "dst").distinct())
+    left = stored(vertices(edges) if vs is None else vs.select("v"))
+    back = Program((Way("1", "max", "got", "dst", "src"),), {"in_it": "in_it OR coalesce(got, 0) = 1"}, {"changed": "new_in_it <> in_it"}, push=True)
     found = []
     while not left.isEmpty():
         busy = edges.select(F.col("src").alias("v")).intersect(edges.select("dst"))
-        single = left.join(busy, "v", "left_anti").checkpoint()
+        single = stored(left.join(busy, "v", "left_anti"))
         if single.isEmpty():
-            colour = least_labels(edges, left, False).checkpoint()
+            colour = least_labels(edges, left, False)[0]
             one = edges.join(colour.withColumnsRenamed({"v": "src", "label": "cs"}), "src").join(colour.withColumnsRenamed({"v": "dst", "label": "cd"}), "dst")
-            inside = one.filter("cs = cd").select("src", "dst").checkpoint()
-            state = colour.select("v", "label", (F.col("v") == F.col("label")).alias("in_it"), (F.col("v") == F.col("label")).alias("active"))
-
-            def back(state: DataFrame, _: int, inside: DataFrame = inside) -> DataFrame:
-                hit = scattered(inside, state, "active", ("dst", "src")).withColumn("_hit", F.lit(True))
-                new = ~F.col("in_it") & F.coalesce("_hit", F.lit(False))
-                return state.join(hit, "v", "left").select("v", "label", (F.col("in_it") | new).alias("in_it"), new.alias("active"))
-
-            done, _ = gas.run(state, back)
-            part = done.filter("in_it").select("v", "label").checkpoint()
+            root = F.col("v") == F.col("label")
+            start = colour.select("v", "label", root.alias("in_it"), root.alias("changed"))
+            done, _ = _ran(Graph(one.filter("cs = cd").select("src", "dst")), start, back, MOST, None)
+            part = stored(done.filter("in_it").select("v", "label"))
         else:
-            part = single.select("v", F.col("v").alias("label")).checkpoint()
+            part = single.select("v", F.col("v").alias("label"))
         found.append(part)
-        left = left.join(part, "v", "left_anti").checkpoint()
+        left = stored(left.join(part, "v", "left_anti"))
         gone = part.select("v")
-        edges = edges.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst").checkpoint()
-    out = found[0] if found else left.select("v", F.col("v").alias("label"))
-    for part in found[1:]:
-        out = out.union(part)
-    return out
+        edges = stored(edges.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst"))
+    return reduce(DataFrame.union, found) if found else left.select("v", F.col("v").alias("label"))
+
+
+def inside_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges in both directions between vertices of one strong component, once each."""
+    one = edges.select("src", "dst").join(labels.withColumnsRenamed({"v": "src", "label": "ls"}), "src").join(labels.withColumnsRenamed({"v": "dst", "label": "ld"}), "dst")
+    return symmetrise(one.filter("ls = ld AND src <> dst").select("src", "dst")).distinct()
+
+
+def scc_frontier(edges: DataFrame, vs: DataFrame | None = None, most: int = MOST, watch: Watch | None = None) -> tuple[DataFrame, int]:
+    """v and label as `scc` gives them, and the supersteps that labels take to spread along edges within components; there a
+    changed vertex makes only neighbours of a larger label active, which are those that then change."""
+    vs = stored(vertices(edges) if vs is None else vs.select("v"))
+    graph = Graph(inside_components(edges, scc(edges, vs)))
+    start = vs.select("v", F.col("v").alias("label"), F.lit(True).alias("changed"))
+    state, done = _ran(graph, start, label_program(larger_only=True), most, watch)
+    return state.select("v", "label"), done

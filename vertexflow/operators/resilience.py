@@ -1,24 +1,12 @@
-"""The fault study: sites, trials, injection across many trials in one plan, classification, the trial log and its roll-ups.
-
-A site is a phase of a superstep (gather, apply or scatter), a state column and a bit. A trial flips that bit for one active
-vertex at one superstep. All trials advance together in one table keyed by trial and vertex.
-"""
+"""Injectable instructions of an assembly listing, the trial log and its roll-ups."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
-from pyspark.sql.window import Window
 
-from ..functions.compare import INF, draw, flip_int, mask
-from ..plans import gas
-from ..sources.graphs import degrees, vertices
-from .algorithms import DAMPING, REST, moved
+from ..functions.compare import INF, draw
 
-PHASES = ("gather", "apply", "scatter")
 RANKING = ("HITS", "PageRank")
 OUTCOMES = ("Masked", "SDC", "DUE")
 #: A ranking whose first difference lies beyond this position counts as masked.
@@ -52,130 +40,24 @@ def in_ranges(sites: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
     return sites.join(F.broadcast(ranges), F.col("line").between(F.col("lo"), F.col("hi")), "left").drop("lo", "hi")
 
 
-def trials(trace: DataFrame, n: int, width: int = 32) -> DataFrame:
-    """trial, iter, vertex, bit, mask, phase for trials 1 to n: a repeatable draw of a superstep of the trace, of a vertex
-    active in it and of a bit."""
-    steps = trace.agg(F.max("iter").alias("steps"))
-    t = trace.sparkSession.range(1, n + 1).select(F.col("id").alias("trial")).crossJoin(F.broadcast(steps))  # one row
-    t = t.withColumns({"iter": 1 + draw(F.col("trial"), 12345, F.col("steps")), "bit": draw(F.col("trial"), 777, F.lit(width)).cast("int")})
-    sizes = trace.groupBy("iter").agg(F.count("*").alias("m"))
-    t = t.join(sizes, "iter").withColumn("pick", 1 + draw(F.col("trial"), 4242, F.col("m")))
-    order = trace.withColumn("pick", F.row_number().over(Window.partitionBy("iter").orderBy("vertex")))
-    phase = F.element_at(F.array(*map(F.lit, PHASES)), (1 + draw(F.col("trial"), 99, F.lit(len(PHASES)))).cast("int"))
-    return t.join(order, ["iter", "pick"]).select("trial", "iter", "vertex", "bit", F.lower(F.hex(mask(F.col("bit")))).alias("mask"), phase.alias("phase"))
-
-
-def _planned(plan: DataFrame) -> tuple[DataFrame, set[int]]:
-    """trial, iter, v, bit, phase of a plan (apply where it names no phase), and the supersteps in which a trial has its fault."""
-    phase = F.col("phase") if "phase" in plan.columns else F.lit("apply").alias("phase")
-    plan = gas.stored(plan.select("trial", "iter", F.col("vertex").alias("v"), "bit", phase))
-    return plan, {r["iter"] for r in plan.select("iter").distinct().collect()}
-
+def loops(sites: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds in_loop and the register that counts the innermost loop around each site, null outside all; ranges: lo, hi,
+    loop_register of the loops, a small table."""
+    held = sites.join(F.broadcast(ranges), F.col("line").between(F.col("lo"), F.col("hi")), "left")
+    own = held.groupBy(*sites.columns).agg(F.min_by("loop_register", F.col("hi") - F.col("lo")).alias("loop_register"))
+    return own.withColumn("in_loop", F.col("loop_register").isNotNull())
 
-def _met(rows: DataFrame, plan: DataFrame, k: int, live: Column) -> DataFrame:
-    """Adds the bit and the phase (null for none) of the fault that meets a live row in superstep k."""
-    hits = F.broadcast(plan.filter((F.col("iter") == k) & F.col("bit").isNotNull()).select("trial", "v", "bit", F.col("phase").alias("at")))
-    return rows.join(hits, ["trial", "v"], "left").withColumn("at", F.when(live, F.col("at")))
 
+def loop_trip(trial: Column, in_loop: Column, trips: int) -> Column:
+    """A repeatable loop trip from 1 to `trips` within a loop, 0 outside."""
+    return F.when(in_loop, 1 + draw(trial, 31, F.lit(trips))).otherwise(0).cast("int")
 
-def _in(phase: str) -> Column:
-    return F.coalesce(F.col("at") == phase, F.lit(False))
 
-
-def _scattered(rows: DataFrame, edges: DataFrame, value: str) -> DataFrame:
-    """The next state from rows with new values (trial, v, `value`, changed, fired, at).
-
-    A fault in scatter negates the activation of a changed vertex; it skips, and does not fire for, an unchanged one.
-    """
-    cut = _in("scatter") & F.col("changed")
-    fired = F.greatest("fired", (_in("gather") | _in("apply") | cut).cast("int"))
-    rows = rows.select("trial", "v", value, (F.col("changed") & ~cut).alias("changed"), fired.alias("fired"))
-    hit = edges.join(rows.filter("changed").select("trial", F.col("v").alias("src")), "src").select("trial", F.col("dst").alias("v"), F.lit(True).alias("hit")).distinct()
-    return rows.join(hit, ["trial", "v"], "left").select("trial", "v", value, F.coalesce("hit", F.lit(False)).alias("active"), "fired")
-
-
-def inject_sssp(edges: DataFrame, plan: DataFrame, source: int, most: int = gas.MOST) -> DataFrame:
-    """trial, v, d, active, fired after all trials of `plan` (trial, iter, vertex, bit, phase) ran for up to `most` supersteps.
-
-    The flip hits the gathered distance, the new distance in apply, or the activation in scatter; it fires only for an active
-    vertex other than the source, in scatter only for a changed one. A trial that is still active at the end ran out of its
-    budget.
-    """
-    edges = gas.stored(edges.select("src", "dst"))
-    plan, steps = _planned(plan)
-    start = plan.select("trial").distinct().crossJoin(vertices(edges))  # every trial has a copy of the graph
-    start = start.select("trial", "v", F.when(F.col("v") == source, 0).otherwise(INF).alias("d"), F.lit(True).alias("active"), F.lit(0).alias("fired"))
-
-    def step(state: DataFrame, k: int) -> DataFrame:
-        sent = state.filter(F.col("d") < INF).select("trial", F.col("v").alias("src"), (F.col("d") + 1).alias("x"))
-        near = edges.join(sent, "src").groupBy("trial", F.col("dst").alias("v")).agg(F.min("x").alias("g"))
-        live = F.col("active") & (F.col("v") != source)
-        rows = state.join(near, ["trial", "v"], "left").withColumn("g", F.coalesce("g", F.lit(INF)))
-        rows = _met(rows, plan, k, live) if k in steps else rows.withColumns({"bit": F.lit(None).cast("int"), "at": F.lit(None).cast("string")})
-        got = F.when(_in("gather"), flip_int(F.col("g"), F.col("bit"))).otherwise(F.col("g"))
-        rows = rows.withColumn("clean", F.when(live, F.least(F.col("d"), got)).otherwise(F.col("d")))
-        rows = rows.withColumn("new", F.when(_in("apply"), flip_int(F.col("clean"), F.col("bit"))).otherwise(F.col("clean")))
-        return _scattered(rows.select("trial", "v", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("changed"), "fired", "at"), edges, "d")
-
-    state, _ = gas.run(start, step, most, keep=gas.stored)
-    return state
-
-
-@F.pandas_udf(FloatType())
-def flip_float(value: pd.Series, bit: pd.Series) -> pd.Series:
-    """A 32-bit float with one bit flipped; a null bit changes nothing."""
-    bits = value.to_numpy(np.float32).view(np.uint32)
-    masks = np.where(bit.isna(), 0, np.left_shift(1, bit.fillna(0).to_numpy(np.int64))).astype(np.uint32)
-    return pd.Series((bits ^ masks).view(np.float32))
-
-
-def inject_pagerank(edges: DataFrame, plan: DataFrame, most: int = gas.MOST) -> DataFrame:
-    """trial, v, rank, active, fired, as inject_sssp does, flipping a bit of the gathered sum or of the new rank as 32-bit
-    floats, or the activation."""
-    edges = edges.select("src", "dst")
-    out = degrees(edges).select(F.col("v").alias("src"), "out_deg")
-    shared = gas.stored(edges.join(out, "src"))
-    plan, steps = _planned(plan)
-    start = plan.select("trial").distinct().crossJoin(vertices(edges))
-    start = start.select("trial", "v", F.lit(REST).cast("float").alias("rank"), F.lit(True).alias("active"), F.lit(0).alias("fired"))
-
-    def step(state: DataFrame, k: int) -> DataFrame:
-        sent = shared.join(state.select("trial", F.col("v").alias("src"), "rank"), "src")
-        phi = sent.groupBy("trial", F.col("dst").alias("v")).agg(F.sum(F.col("rank").cast("double") / F.col("out_deg")).alias("phi"))
-        rows = state.join(phi, ["trial", "v"], "left").withColumn("phi", F.coalesce("phi", F.lit(0.0)))
-        if k in steps:
-            rows = _met(rows, plan, k, F.col("active"))
-            flipped = flip_float(F.col("phi").cast("float"), F.col("bit")).cast("double")
-            rows = rows.withColumn("phi", F.when(_in("gather"), flipped).otherwise(F.col("phi")))
-        else:
-            rows = rows.withColumn("at", F.lit(None).cast("string"))
-        rows = rows.withColumn("new", F.when(F.col("active"), REST + DAMPING * F.col("phi")).otherwise(F.col("rank")).cast("float"))
-        if k in steps:
-            rows = rows.withColumn("new", flip_float("new", F.when(_in("apply"), F.col("bit"))))
-        changed = moved(F.col("new").cast("double"), F.col("rank").cast("double"))
-        return _scattered(rows.select("trial", "v", F.col("new").alias("rank"), changed.alias("changed"), "fired", "at"), shared, "rank")
-
-    state, _ = gas.run(start, step, most, keep=gas.stored)
-    return state
-
-
-def value_metrics(state: DataFrame, golden: DataFrame) -> DataFrame:
-    """trial, fi_flag, outcome, metric1 (differing values) and metric2 (relative L2 in doubles) of integer results.
-
-    state: trial, v, d, active, fired; golden: v, dist. Still active: DUE, with 2147483647 for both metrics; no difference:
-    Masked with zeros; else SDC.
-    """
-    x = F.col("dist").cast("double")
-    joined = state.join(golden, "v").groupBy("trial").agg(
-        F.max("fired").alias("fi_flag"),
-        F.max("active").alias("late"),
-        F.count_if(F.col("d") != F.col("dist")).alias("n"),
-        (F.sqrt(F.sum((x - F.col("d")) ** 2)) / F.nullif(F.sqrt(F.sum(x * x)), F.lit(0.0))).alias("l2"),
-    )
-    outcome = F.when(F.col("late"), "DUE").when(F.col("n") == 0, "Masked").otherwise("SDC")
-    metric1 = F.when(F.col("late"), INF).otherwise(F.col("n")).cast("long")
-    metric2 = F.when(F.col("late"), float(INF)).when(F.col("n") == 0, 0.0).otherwise(F.col("l2"))
-    return joined.select("trial", "fi_flag", outcome.alias("outcome"), metric1.alias("metric1"), metric2.alias("metric2"))
+def picked_sites(trials: DataFrame, sites: DataFrame) -> DataFrame:
+    """trial and line of a uniformly drawn site for each trial; sites (a small table) has line."""
+    lines = sites.agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    rows = trials.select("trial").crossJoin(F.broadcast(lines)).filter(F.size("lines") > 0)  # one row
+    return rows.select("trial", F.get("lines", draw(F.col("trial"), 99, F.size("lines")).cast("int")).alias("line"))
 
 
 def rank_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -254,5 +136,10 @@ def ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumn("total", total).withColumns({f"{o.lower()}_ratio": F.col(o.lower()) / F.nullif(F.col("total"), F.lit(0)) for o in OUTCOMES})
 
 
-def write_tsv(rolled: DataFrame, path: str) -> None:
-    rolled.write.option("sep", "\t").option("header", True).csv(path)
+def write_tsvs(rows: DataFrame, path: str) -> list[str]:
+    """Writes the seven roll-ups, with shares, as tab-separated text: a folder for each level below `path`."""
+    out = []
+    for keys in LEVELS:
+        out.append(f"{path}/{'_'.join(keys)}")
+        ratios(rollup(rows, keys)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(out[-1])
+    return out

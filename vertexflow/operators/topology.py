@@ -2,64 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.storage import new_path, stored
 from ..sources.graphs import degrees, simple, vertices
 from .algorithms import components
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """x, y, z and, for each two of them, whether an edge leads one way (xy, xz, yz) and the other (yx, zx, zy): every
+    triangle of simple edges once, whatever the directions.
+
+    Ends are ordered by degree, so a wedge starts at its vertex of least degree: a hub has few neighbours above it, and no
+    vertex more than the root of twice the number of edges.
+    """
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("up").alias("ab"), F.max(~F.col("up")).alias("ba"))
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).groupBy("v").agg(F.count("*").alias("d"))
+    pairs = pairs.join(ends.withColumnsRenamed({"v": "a", "d": "da"}), "a").join(ends.withColumnsRenamed({"v": "b", "d": "db"}), "b")
+    first, second = F.struct(F.col("da").alias("d"), F.col("a").alias("v")), F.struct(F.col("db").alias("d"), F.col("b").alias("v"))
+    low = first < second
+    rising = pairs.select(F.when(low, first).otherwise(second).alias("lo"), F.when(low, second).otherwise(first).alias("hi"), F.when(low, F.col("ab")).otherwise(F.col("ba")).alias("out"), F.when(low, F.col("ba")).otherwise(F.col("ab")).alias("back"))
+    rising = stored(rising.select(F.col("lo.v").alias("lo"), F.col("hi.v").alias("hi"), F.col("hi.d").alias("hd"), "out", "back"))
+    one = rising.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("hd").alias("yd"), F.col("out").alias("xy"), F.col("back").alias("yx"))
+    two = rising.select(F.col("lo").alias("x"), F.col("hi").alias("z"), F.col("hd").alias("zd"), F.col("out").alias("xz"), F.col("back").alias("zx"))
+    three = rising.select(F.col("lo").alias("y"), F.col("hi").alias("z"), F.col("out").alias("yz"), F.col("back").alias("zy"))
+    wedges = one.join(two, "x").filter(F.struct(F.col("yd"), F.col("y")) < F.struct(F.col("zd"), F.col("z")))
+    return wedges.join(three, ["y", "z"]).select("x", "y", "z", "xy", "yx", "xz", "zx", "yz", "zy")
+
+
 def coefficients(edges: DataFrame) -> DataFrame:
     """v, cc_in, cc_out, cc of every end of an edge; repeats and loops don't count.
 
     cc_in is the share of ordered pairs of in-neighbours that have an edge, cc_out the same among out-neighbours, cc their
-    mean. An edge a -> b and its common neighbours make the triangles: the wedges over a vertex are closed by joining the
-    neighbours of the two ends, so no list of pairs of neighbours is kept.
+    mean. Every triangle is found once and counted for each of its three vertices.
     """
-    e = simple(edges).persist()
-    to = {"in": ("src", "dst"), "out": ("dst", "src")}
-    out = degrees(e)
-    for side, (near, far) in to.items():
-        at = e.select(F.col(near).alias("n"), F.col(far).alias("v"))
-        first = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(at.select(F.col("n").alias("a"), "v"), "a")
-        closed = first.join(at.select(F.col("n").alias("b"), "v"), ["b", "v"]).groupBy("v").agg(F.count("*").alias(f"t_{side}"))
-        out = out.join(closed, "v", "left")
-    for side in to:
+    e = stored(simple(edges))
+    n = lambda *flags: sum(F.col(f).cast("long") for f in flags)
+    both = lambda a, b: F.col(a) & F.col(b)
+    corners = [("x", both("yx", "zx"), both("xy", "xz"), n("yz", "zy")), ("y", both("xy", "zy"), both("yx", "yz"), n("xz", "zx")), ("z", both("xz", "yz"), both("zx", "zy"), n("xy", "yx"))]
+    rows = F.array(*[F.struct(F.col(v).alias("v"), F.when(i, k).otherwise(0).alias("t_in"), F.when(o, k).otherwise(0).alias("t_out")) for v, i, o, k in corners])
+    counts = triangles(e).select(F.explode(rows).alias("c")).select("c.*").groupBy("v").agg(F.sum("t_in").alias("t_in"), F.sum("t_out").alias("t_out"))
+    out = degrees(e).join(counts, "v", "left")
+    for side in ("in", "out"):
         k = F.col(f"{side}_deg")
-        share = F.when(k >= 2, F.coalesce(F.col(f"t_{side}"), F.lit(0)) / (k * (k - 1))).otherwise(0.0)
-        out = out.withColumn(f"cc_{side}", share)
+        out = out.withColumn(f"cc_{side}", F.when(k >= 2, F.coalesce(F.col(f"t_{side}"), F.lit(0)) / (k * (k - 1))).otherwise(0.0))
     return out.select("v", "cc_in", "cc_out", ((F.col("cc_in") + F.col("cc_out")) / 2).alias("cc"))
 
 
+def write_coefficients(coefficients: DataFrame, path: str | None = None) -> str:
+    """Writes v and cc as text with a header, as a spreadsheet reads it; returns the folder, a new one where none is given."""
+    path = new_path(coefficients.sparkSession, "coefficients") if path is None else path
+    coefficients.select("v", "cc").write.option("header", True).csv(path)
+    return path
+
+
+def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema("v long, cc double").csv(path)
+
+
 def high_clustering_subsets(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     """v and subset (its least vertex) of the components of two or more vertices whose coefficient reaches the threshold."""
-    high = coefficients(edges).filter(F.col("cc") >= threshold).select("v").persist()
+    high = stored(coefficients(edges).filter(F.col("cc") >= threshold).select("v"))
     e = simple(edges)
     inner = e.join(high.withColumnRenamed("v", "src"), "src").join(high.withColumnRenamed("v", "dst"), "dst").select("src", "dst")
     return components(inner).withColumnRenamed("label", "subset")
 
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """v, item, n (items of v) of the items that a set can't do without: two sets whose Jaccard similarity reaches the
+    threshold share one of the first n - ceil(threshold * n) + 1 items of each, in any one order of all items; the rarest
+    come first."""
+    rarity = sets.groupBy("item").agg(F.count("*").alias("spread"))
+    own = Window.partitionBy("v")
+    ranked = sets.join(rarity, "item").withColumns({"n": F.count("*").over(own), "i": F.row_number().over(own.orderBy("spread", "item"))})
+    # a hair below, so that rounding never shortens a prefix
+    return ranked.filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("v", "item", "n")
+
+
 def similar_pairs(edges: DataFrame, threshold: float = 0.6) -> DataFrame:
     """v1 < v2, sim_in, sim_out (Jaccard of in- and out-neighbours, two decimals) where both reach the threshold unrounded.
 
-    Only pairs that share an out-neighbour can reach a threshold above 0, and only if the smaller degree is that share of
-    the larger one; both hold back the hubs' pairs before anything is counted.
+    Candidates share a needed out-neighbour and have degrees whose ratio reaches the threshold, both ways; what is popular is
+    hardly ever needed, so a hub's neighbours don't all meet. A candidate's neighbours are then counted in full. threshold is
+    above 0.
     """
-    e = edges.select("src", "dst").distinct()
-    deg = degrees(e).persist()
-    near = e.join(deg.select(F.col("v").alias("src"), F.col("out_deg").alias("o"), F.col("in_deg").alias("i")), "src")
-    a, b = (near.select("dst", *[F.col(c).alias(f"{c}{n}") for c in ("src", "o", "i")]) for n in (1, 2))
+    e = stored(edges.select("src", "dst").distinct())
+    deg = degrees(e)
+    near = _prefixes(e.select(F.col("src").alias("v"), F.col("dst").alias("item")), threshold).join(deg, "v")
+    a, b = (near.select("item", *[F.col(c).alias(f"{n}{i}") for c, n in (("v", "v"), ("out_deg", "o"), ("in_deg", "i"))]) for i in (1, 2))
     fits = [F.least(f"{c}1", f"{c}2") >= threshold * F.greatest(f"{c}1", f"{c}2") for c in "oi"]
-    pairs = a.join(b, (a["dst"] == b["dst"]) & (F.col("src1") < F.col("src2")) & fits[0] & fits[1]).groupBy("src1", "src2", "o1", "o2", "i1", "i2").agg(F.count("*").alias("both_out"))
-    out = F.col("both_out") / (F.col("o1") + F.col("o2") - F.col("both_out"))
-    pairs = pairs.filter(out >= threshold).withColumn("out", out)
-    into1, into2 = (e.select(F.col("src").alias("x"), F.col("dst").alias(f"src{n}")) for n in (1, 2))
-    shared = pairs.select("src1", "src2").join(into1, "src1").join(into2, ["x", "src2"]).groupBy("src1", "src2").agg(F.count("*").alias("both_in"))
-    joined = pairs.join(shared, ["src1", "src2"]).withColumn("in", F.col("both_in") / (F.col("i1") + F.col("i2") - F.col("both_in")))
-    return joined.filter(F.col("in") >= threshold).select(F.col("src1").alias("v1"), F.col("src2").alias("v2"), F.round("in", 2).alias("sim_in"), F.round("out", 2).alias("sim_out"))
+    pairs = stored(a.join(b, (a["item"] == b["item"]) & (F.col("v1") < F.col("v2")) & fits[0] & fits[1]).drop("item").distinct())
+    for side, near_end, far_end in (("out", "src", "dst"), ("in", "dst", "src")):
+        one, two = (e.select(F.col(near_end).alias(v), F.col(far_end).alias("x")) for v in ("v1", "v2"))
+        shared = pairs.select("v1", "v2").join(one, "v1").join(two, ["v2", "x"]).groupBy("v1", "v2").agg(F.count("*").alias("k"))
+        union = F.col(f"{side[0]}1") + F.col(f"{side[0]}2") - F.col("k")
+        pairs = pairs.join(shared, ["v1", "v2"]).withColumn(f"sim_{side}", F.col("k") / union).drop("k").filter(F.col(f"sim_{side}") >= threshold)
+    return pairs.select("v1", "v2", F.round("sim_in", 2).alias("sim_in"), F.round("sim_out", 2).alias("sim_out"))
 
 
 def _groups(near: dict[int, list[int]]) -> list[tuple[int, ...]]:
@@ -121,9 +163,17 @@ def group_cover(pairs: DataFrame) -> DataFrame:
     return _by_component(pairs, True)
 
 
-def numbered(groups: DataFrame) -> Iterator[tuple[int, list[int]]]:
-    """Groups with running numbers, in the order of their members, for printing."""
-    return enumerate((r["members"] for r in groups.orderBy("members").toLocalIterator()), 1)
+def numbered(groups: DataFrame) -> DataFrame:
+    """number (from 1, in the order of members) and members of each group."""
+    rows = stored(groups.select("members").repartitionByRange("members").sortWithinPartitions("members").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    before = rows.groupBy("part").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("part")) - F.col("k"))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return rows.withColumn("own", own).join(F.broadcast(before), "part").select((F.col("own") + F.col("before")).alias("number"), "members")
+
+
+def subset_members(subsets: DataFrame) -> DataFrame:
+    """members (sorted) of each subset of high_clustering_subsets, for `numbered`."""
+    return subsets.groupBy("subset").agg(F.sort_array(F.collect_list("v")).alias("members")).select("members")
 
 
 def subset_sizes(subsets: DataFrame) -> DataFrame:

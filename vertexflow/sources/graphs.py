@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import new_path, stored
+
 
 def read_mtx(spark: SparkSession, path: str, undirected: bool = False) -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst, w) and vertices (v) of a coordinate file.
@@ -37,6 +39,37 @@ def write_mtx(edges: DataFrame, rows: int, path: str) -> None:
     edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(f"{path}/1-edges")
 
 
+def ordered(edges: DataFrame, by: str = "src") -> DataFrame:
+    """pos (from 1) and the columns of edges ordered by `by`, edges of one vertex by the other end: the order of a compressed
+    layout. Edges that agree in both ends are interchangeable.
+
+    Dealt by ranges of the order, so no task numbers all edges.
+    """
+    other = "dst" if by == "src" else "src"
+    rows = stored(edges.repartitionByRange(by, other).sortWithinPartitions(by, other).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return rows.withColumn("_r", own).join(F.broadcast(sizes), "_part").select((F.col("_r") + F.col("_before")).alias("pos"), *edges.columns)
+
+
+def write_numbered(rows: DataFrame, place: str, value: str, path: str | None = None) -> str:
+    """Writes `value` as text, one a line, in the order of the distinct numbers `place`; the folder's files follow each other
+    in the order of their names. Returns the folder, a new one where none is given."""
+    path = new_path(rows.sparkSession, "result") if path is None else path
+    rows.repartitionByRange(place).sortWithinPartitions(place).select(F.col(value).cast("string").alias("value")).write.text(path)
+    return path
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 1) and value (long) of a folder that write_numbered made."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("long").alias("value"))
+    rows = stored(rows)
+    # the parts of a file that is read in blocks have rising ids
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n"))  # a row for each file
+    own = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    return rows.withColumn("own", own).join(F.broadcast(files), "file").select((F.col("own") + F.col("before")).alias("line"), "value")
+
+
 def symmetrise(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse, without removing repeats."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
