@@ -173,20 +173,297 @@ def test_distributions(spark):
         assert got.count(x) / 400 == pytest.approx(comb(12, x) * comb(18, 10 - x) / comb(30, 10), abs=0.006)
 
 
+def filled(size_of):
+    """Target of each source: weights 5, 2, 1 by code point, 150 % of all words, at most twice a source's own, the excess shared anew."""
+    names = sorted(size_of, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, free, target = 1.5 * sum(size_of.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * size_of[s]}
+        for s in full or free:
+            target[s] = 2 * size_of[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        free = free - full if full else set()
+    return target
+
+
 def test_mix(docs, nothing):
-    sizes = mixing.sized(docs.drop("size")).select("doc_id", "source", "size").cache()
+    sizes = mixing.sized(docs).select("doc_id", "source", "size").cache()
     sources, blocks = mixing.plan(sizes, shard_words=500, block_docs=4)
     rows = mixing.counted(sizes, sources, blocks).collect()
-    total = sum(r["size"] for r in rows)
+    size_of = {}
+    for r in rows:
+        size_of[r["source"]] = size_of.get(r["source"], 0) + r["size"]
+    want = filled(size_of)
     assert len(rows) == docs.count() and all(r["times"] <= 2 for r in rows)
-    targets = {r["source"]: r["target"] for r in rows}
-    assert sum(targets.values()) == pytest.approx(1.5 * total)
-    assert all(r["target"] <= 2 * r["source_size"] + 1e-6 for r in rows)
+    assert all(r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == size_of[r["source"]] for r in rows)
+    for s in size_of:
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["times"] * r["size"] for r in own) - want[s]) <= max(r["size"] for r in own)
     assert all(len(r["shards"]) >= r["times"] for r in rows if r["times"])
-    assert mixing.mixed(docs.drop("size"), shard_words=500).count() == mixing.mixed(docs.drop("size"), shard_words=500).count()
+
+    def again():
+        return sorted(map(str, mixing.mixed(docs, shard_words=500, block_docs=4).collect()))
+
+    assert again() == again() and len(again()) == sum(r["times"] for r in rows)
     assert mixing.mixed(nothing).count() == 0
 
 
+#: Every name that an operator uses for itself.
+INNER = "size times shards target source_size copies sid cut n_blocks _block mix_shard removed _id _own _text _row _body _lines _c0 _prefix0 _depth0 _bytes0 _hash _bytes _key _copy _shard fp body root least node first _source _sha _stays chunks h digest n_lines n_removed shard_prefix shard_depth shard_bytes".split()
+
+
+def test_clashing_columns(docs):
+    from pyspark.sql.types import IntegerType
+
+    wide = docs.drop("size", "fp").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in INNER}).withColumn("n_chars", F.length("text").cast(IntegerType()))
+    outs = {
+        "lines": (line_dedup.cleaned(wide), ("n_lines", "n_removed")),
+        "line stage": (line_dedup.stage(None, wide, ""), ("n_lines", "n_removed")),
+        "shards": (sharding.sharded(wide, limit=3000), ("shard_prefix", "shard_depth", "shard_bytes")),
+        "mix": (mixing.mixed(wide, shard_words=500), ("mix_shard",)),
+        "exact": (exact_dedup.deduplicate(wide), ()),
+        "simhash": (simhash.stage(None, wide, ""), ()),
+    }
+    for name, (out, own) in outs.items():
+        assert set(wide.columns) <= set(out.columns), name
+        kept = [c for c in INNER if c not in own]
+        rows = out.select("doc_id", *[F.col(f"`{c}`") for c in kept]).collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in kept), name
+    assert mixing.stage(None, wide, "").columns == wide.columns
+    assert language.identify(wide, language.Model([], language.codewords(1), np.zeros((1 << language.BITS, 7), np.float32), np.zeros(7), np.ones(7))).count() == docs.count()
+    assert packing.stage(None, wide, "").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_near_dedup_keeps_one_of_each_component(spark):
+    a, b, c = text(60, 901), text(60, 902), text(60, 903)
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c + " "), (None, b), (9, b), (9, b), (11, None), (12, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], (r["text"] or "").strip()) for r in simhash.deduplicate(frame).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (11, ""), (None, c)], key=str)
+
+
+def extendible(items, limit, bits):
+    """(prefix, depth, bytes) of each (hash, size), splitting a bucket that is too large on one more bit."""
+    out = {}
+
+    def place(part, depth):
+        total = sum(n for _, n in part)
+        if total <= limit or len({h for h, _ in part}) == 1:
+            for h, _ in part:
+                out[h] = (h >> (bits - depth), depth, total)
+        else:
+            for bit in (0, 1):
+                side = [x for x in part if x[0] >> (bits - depth - 1) & 1 == bit]
+                if side:
+                    place(side, depth + 1)
+
+    place(items, 0)
+    return out
+
+
+@pytest.mark.parametrize("levels", [12, 3])
+def test_directory_over_several_rounds(spark, monkeypatch, levels):
+    monkeypatch.setattr(sharding, "BITS", levels)
+    frame = spark.createDataFrame([(i, text(1 + i % 9, i)) for i in range(600)] + [(5, text(6, 5))], "doc_id long, text string")
+    items = [(r["_hash"], r["_bytes"]) for r in sharding.hashed(frame).collect()]
+    want = extendible(items, 60, sharding.HASH_BITS)
+    assert max(d for _, d, _ in want.values()) > levels or levels == 12
+    got = sharding.sharded(frame, limit=60)
+    rows = sharding.hashed(got).collect()
+    assert len(rows) == 601 and all((r["shard_prefix"], r["shard_depth"], r["shard_bytes"]) == want[r["_hash"]] for r in rows)
+
+
+def test_cutoffs_against_exact_binomials(spark):
+    """Strata of 3000, 764 and 300 good rows: large ones certify cutoffs, small ones none."""
+    from math import comb
+
+    rng, rows = random.Random(8), []
+    for stratum, n in (("a", 3000), ("b", 764), (None, 300)):
+        for i in range(n):
+            rows.append((stratum, *(rng.choice([0.0, 0.0, 0.004, 0.015, 0.08]) if i % 20 == 0 else 0.0 for _ in range(3)), False, True))
+    rows += [("a", 0.9, 0.9, 0.9, True, True), ("b", 0.9, 0.9, 0.9, False, False)]
+    names = list(quality_rules.RULES)
+    holdout = spark.createDataFrame(rows, f"lang string, {', '.join(f'{r} double' for r in names)}, base_failed boolean, good boolean")
+    got = {r["lang"]: r for r in quality_rules.cutoffs(holdout, "lang").collect()}
+    p, level = quality_rules.LIMIT / 3, quality_rules.DELTA / (3 * 3 * len(quality_rules.GRID))
+    certified = 0
+    for stratum in ("a", "b", None):
+        good = [r for r in rows if r[0] == stratum and r[5] and not r[4]]
+        for j, rule in enumerate(names, 1):
+            fit = []
+            for c in quality_rules.GRID:
+                k, n = sum(r[j] > c for r in good), len(good)
+                tail = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+                if k < n * p and tail <= level:
+                    fit.append(c)
+            assert got[stratum][f"max_{rule}"] == min(fit, default=None), (stratum, rule)
+            certified += bool(fit)
+    assert certified >= 3 and got[None]["max_repeat_share"] is None
+
+
+def test_certificates_and_rows_without_ids(spark):
+    pieces = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1 + F.col("id") % 7).alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    placed = packing.pack(pieces, 20, 500).cache()
+    assert placed.count() == 3000 and placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 20").isEmpty()
+    rows = packing.certificates(placed, 20).collect()
+    assert len(rows) >= 5 and all(r["gap"] == r["bins"] - r["bound"] >= 0 for r in rows)
+    assert sum(r["bins"] for r in rows) == placed.select("sequence_id").distinct().count()
+
+
+def test_pieces_against_whole_texts(docs):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    got = {}
+    for r in packing.pieces(docs, capacity=50).collect():
+        got.setdefault((r["doc_id"], r["start"] and None), []).append(r)
+    rows = packing.pieces(docs.dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL"), capacity=50).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.dropDuplicates(["doc_id"]).collect()}
+    for i in {r["doc_id"] for r in rows}:
+        ids = [*whole.encode(texts[i], add_special_tokens=False).ids, 1]
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [(r["start"], r["length"], r["ids_crc32"]) for r in own] == [
+            (s, len(ids[s : s + 50]), zlib.crc32(np.array(ids[s : s + 50], "<u4").tobytes())) for s in range(0, len(ids), 50)
+        ]
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import pyarrow as pa
+
+    encoder = packing.Encoder("byte_bpe_50k.json")
+    part = ["Two  words\n and a_tail!", "", "it's 12½"]
+    ids, ends = encoder.encode(pa.array(part))
+    assert not encoder.splits
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_ftrl_against_its_definition():
+    """Weights as the closed form gives them from the sums of gradients and of their squares, coordinate by coordinate."""
+    rng = random.Random(2)
+    rows = [(sorted(rng.sample(range(12), 4)), rng.randint(0, 1)) for _ in range(60)]
+    learner = toxicity.Ftrl(4, alpha=0.7, beta=1.0, l1=0.3, l2=0.2)
+    z, n, w = [0.0] * 17, [0.0] * 17, [0.0] * 17
+    for slots, y in rows:
+        at = [*slots, 16]
+        learner.learn(np.array(at), y, 1.5)
+        for i in at:
+            l1 = 0.0 if i == 16 else 0.3
+            w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + n[i] ** 0.5) / 0.7 + 0.2)
+        g = 1.5 * (1 / (1 + np.exp(-sum(w[i] for i in at))) - y)
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.7 * w[i]
+            n[i] += g * g
+    assert learner.z.tolist() == pytest.approx(z) and learner.n.tolist() == pytest.approx(n)
+    assert any(abs(x) <= 0.3 for x in z[:12])
+
+
+def test_toxic_scores_against_sets_of_slots():
+    texts = [text(30, 70).encode(), b"", None, text(3, 71).encode(), b"one"]
+    slots = sorted({int(s) for t in texts for b in toxicity.blocks([t]) for s in toxicity.word_grams(b, 10, toxicity.SKIPS)[0]})
+    model = toxicity.Model(10, np.array(slots[::2]), np.linspace(-1, 1, len(slots[::2])).astype(np.float32), 0.2)
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+    for t, got in zip(texts, toxicity.score_texts(model, model.table(), texts), strict=True):
+        own = {int(s) for b in toxicity.blocks([t]) for s in toxicity.word_grams(b, 10, toxicity.SKIPS)[0]}
+        assert got == pytest.approx(1 / (1 + np.exp(-(sum(weight.get(s, 0.0) for s in own) + 0.2))), rel=1e-5)
+
+
+def test_decoding_against_every_codeword():
+    rng = np.random.default_rng(4)
+    code = language.codewords(3)
+    m = language.Model(["x", "y", "z"], code, rng.normal(size=(1 << language.BITS, code.shape[1])).astype(np.float32) * 30, rng.normal(size=code.shape[1]), rng.uniform(0.5, 3, code.shape[1]))
+    texts = [text(20, i).encode() for i in range(150)] + [b"", None, b"abc"]
+    best, sure, close = language.predict_texts(m, texts)
+    for t, b, s, c in zip(texts, best, sure, close, strict=True):
+        bits = language._counts(next(iter(language.blocks([t]))))[0] @ m.weights + m.bias
+        loss = [sum(m.trust[j] * np.log1p(np.exp(-bits[j] * w[j])) for j in range(len(w))) / m.trust.mean() for w in code]
+        p = np.exp(min(loss) - np.array(loss))
+        p = sorted(p / p.sum())[::-1]
+        assert b == int(np.argmin(loss)) and s == pytest.approx(p[0], rel=1e-4) and c == (p[0] - p[1] < language.LEAD)
+
+
+def test_quality_scores_against_mean_vectors():
+    rng = np.random.default_rng(5)
+    m = quality.Model(rng.normal(size=(1 << quality.BITS, quality.DIM)).astype(np.float32), rng.normal(size=(2, quality.DIM)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    texts = [text(12, 5).encode(), b"a", text(40, 6).encode()]
+    for t, got in zip(texts, quality.score_texts(m.table(), m.offset(), texts), strict=True):
+        slots, share = quality.features([t])[0]
+        logits = m.output @ (share @ m.vectors[slots]) + m.bias
+        p = np.exp(logits - logits.max())
+        assert got == pytest.approx((p / p.sum())[1], rel=1e-3)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder of documents with toxic ones, boilerplate, copies, nulls, empty and long texts, and labels."""
+    folder = tmp_path_factory.mktemp("planted")
+    clean = [text(50, 300 + i) for i in range(80)]
+    rows = [(i, t + "\nfooter of all sites", "en", f"s{i % 6}") for i, t in enumerate(clean)]
+    rows += [(100 + i, f"{text(25, 500 + i)} scum scum {text(9, i)}", "en", f"s{i % 6}") for i in range(40)]
+    rows += [(200, rows[3][1], "en", "s1"), (201, clean[3].upper(), "en", "s1"), (202, None, None, None), (203, "", "en", "s0"), (204, text(6000, 9), "en", "s2"), (None, text(45, 777), "en", "s0"), (7, rows[7][1], "en", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").withColumn("size", F.lit("x"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(100 <= i < 140)) for i in [*range(80), *range(100, 140)]], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline(spark, planted, nothing, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{planted}/documents.parquet").cache()
+    first, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, planted).write.parquet(path)
+        before, docs = docs, spark.read.parquet(path).cache()
+        kept[name] = docs.collect()
+        if name != "packing":
+            assert docs.columns == first, name
+    ids = {name: sorted((r["doc_id"] for r in rows), key=str) for name, rows in kept.items()}
+    assert not any(100 <= (i or 0) < 140 for i in ids["toxicity"]) and len(ids["toxicity"]) == 87
+    texts = {r["doc_id"]: r["text"] for r in kept["line_dedup"]}
+    assert ids["line_dedup"] == ids["toxicity"] and "footer" in texts[0] and not any("footer" in (texts[i] or "") for i in range(1, 80))
+    assert texts[202] is None and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in kept["line_dedup"])
+    near = {}
+    for r in kept["line_dedup"]:
+        near.setdefault(simhash.fingerprint((r["text"] or "").encode()), []).append(r["doc_id"])
+    assert len({200, 201, 3} & set(ids["simhash_near_dedup"])) == 1 and ids["simhash_near_dedup"].count(7) == 1
+    assert len(ids["simhash_near_dedup"]) == len(set(map(str, ids["simhash_near_dedup"]))) and len(ids["simhash_near_dedup"]) <= len(near)
+    size_of, taken, alone = {}, {}, {(r["doc_id"], r["text"]): r["source"] for r in kept["simhash_near_dedup"]}
+    for (_, t), s in alone.items():
+        size_of[s] = size_of.get(s, 0) + len((t or "").split())
+    for r in kept["source_mixing"]:
+        assert alone[r["doc_id"], r["text"]] == r["source"]
+        taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").split())
+    largest = {s: max(len((t or "").split()) for (_, t), own in alone.items() if own == s) for s in size_of}
+    assert all(abs(taken.get(s, 0) - t) <= largest[s] for s, t in filled(size_of).items())
+    whole = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    assert sum(r["length"] for r in kept["packing"]) == sum(len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in before.collect())
+    rows = sorted(map(str, corpus_pipeline.run(spark, planted).collect()))
+    assert len(rows) == len(kept["packing"])
+    empty = f"{tmp_path}/empty"
+    spark.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{planted}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_every_query_on_planted_and_empty_tables(spark, planted, tmp_path):
+    """Null, empty, long, repeated and clashing rows go through every query; an empty table gives none."""
+    from vertexflow.llm import catalog
+
+    n = spark.read.parquet(f"{planted}/documents.parquet").count()
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{planted}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, query in catalog.QUERIES.items():
+        rows = query(spark, planted).collect()
+        assert len(rows) == n or (name == "op6_packing" and len({r["doc_id"] for r in rows}) == n - 1 and len(rows) >= n), name
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
 def test_classifiers_learn(spark, docs, nothing):
     bad, good = [f"{text(30, i)} scum {text(9, i)}" for i in range(60)], [text(40, 100 + i) for i in range(60)]
     rows = [(i, t, int(t in set(bad)), "xy"[t in set(bad)]) for i, t in enumerate(bad + good)]

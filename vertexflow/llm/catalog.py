@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.query,
     "op9_quality_classifier": quality.query,
     "op10_source_mixing": mixing.query,
+    "shards_of_2k": sharding.query_of_2k,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "shards_of_2k": sharding.oracle(sharding.SMALL_LIMIT),
 }

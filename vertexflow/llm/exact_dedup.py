@@ -1,9 +1,9 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A normalised text is cut where its own content says so, a chunk gets the 64-bit hash of its bytes as identifier, and the
-identifiers are verified: chunk texts are compared once, so two different chunks of one hash are found and told apart by a
-rank. Documents are then compared by their ordered lists of identifiers, some eight bytes for a few hundred of text, so
-long documents are not moved or sorted again.
+A normalised text is cut where its own content says so. A chunk's identifier is the 64-bit hash of its bytes, verified by their
+SHA-256: two chunks of one hash but different digests are found and told apart by a rank. Texts are read and cut once; from
+then on only hashes and digests move, some forty bytes for a few hundred of text, and documents are compared by their ordered
+lists of identifiers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import own_row, row_column, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A chunk ends after a word whose last two characters fall in these classes, once it is long enough, or at most 4096
@@ -30,32 +30,33 @@ def chunk_hash(chunk: Column, bits: int) -> Column:
     return h if bits == 64 else F.shiftrightunsigned(h, 64 - bits)
 
 
-def _chunked(docs: DataFrame, text: str) -> DataFrame:
-    norm = docs.withColumn("_norm", normalised(F.col(text)))
-    return norm.select("doc_id", F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"), F.regexp_extract_all("_norm", F.lit(CHUNK), 0).alias("_chunks"))
+def chunked(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
+    """doc_id, text_sha256, chunks (hash and digest of each, in order) of every row; a null text counts as empty."""
+    norm = docs.select("doc_id", normalised(F.col(text)).alias("norm"))
+    cut = norm.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), 0).alias("cut"))
+    identified = F.transform("cut", lambda c: F.struct(chunk_hash(c, bits).alias("h"), F.unhex(F.sha2(c.cast("binary"), 256)).alias("digest")))
+    return cut.select("doc_id", "text_sha256", identified.alias("chunks"))
 
 
-def collisions(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
-    """Chunks that share their hash with a different chunk: h, chunk, rank (0 for the first in text order)."""
-    chunks = _chunked(docs, text).select(F.explode("_chunks").alias("chunk"))
-    distinct = chunks.groupBy(chunk_hash(F.col("chunk"), bits).alias("h"), "chunk").agg(F.count("*").alias("_n"))
-    shared = distinct.groupBy("h").agg(F.count("*").alias("_texts")).filter("_texts > 1").select("h")
-    return distinct.select("h", "chunk").join(shared, "h").select("h", "chunk", (F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1).alias("rank"))
+def collisions(cut: DataFrame) -> DataFrame:
+    """Chunks that share their hash with a different chunk: h, digest, rank (0 for the first in the order of digests)."""
+    seen = cut.select(F.explode("chunks").alias("c")).select("c.h", "c.digest")
+    shared = stored(seen.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("h"))
+    several = seen.join(shared, "h").distinct()
+    return several.select("h", "digest", (F.row_number().over(Window.partitionBy("h").orderBy("digest")) - 1).alias("rank"))
 
 
 def recipes(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
     """doc_id, text_sha256, recipe (ordered identifiers), ranks (position and rank of the chunks whose hash is shared)."""
-    docs = docs.select("doc_id", text)
-    shared = stored(collisions(docs, text, bits))
-    plain = _chunked(docs, text).select("doc_id", "text_sha256", F.transform("_chunks", lambda c: chunk_hash(c, bits)).alias("recipe"))
+    cut = stored(chunked(docs, text, bits).withColumn("_row", F.monotonically_increasing_id()))
+    shared = stored(collisions(cut))
+    plain = cut.select("_row", "doc_id", "text_sha256", F.col("chunks.h").alias("recipe"))
     if shared.isEmpty():
         return plain.withColumn("ranks", F.array().cast("array<bigint>"))
-    at = _chunked(docs, text).select("doc_id", "text_sha256", F.posexplode("_chunks").alias("_pos", "chunk"))
-    at = at.withColumn("h", chunk_hash(F.col("chunk"), bits)).join(shared, ["h", "chunk"])
+    at = cut.select("_row", F.posexplode("chunks").alias("_pos", "c")).select("_row", "_pos", "c.h", "c.digest").join(shared, ["h", "digest"])
     place = F.shiftleft(F.col("_pos").cast("long"), 24) + F.col("rank")
-    ranks = at.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_set(place)).alias("ranks"))
-    joined = plain.alias("p").join(ranks.alias("r"), F.col("p.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("p.text_sha256") == F.col("r.text_sha256")), "left")
-    return joined.select("p.doc_id", "p.text_sha256", "recipe", F.coalesce("ranks", F.array().cast("array<bigint>")).alias("ranks"))
+    ranks = at.groupBy("_row").agg(F.sort_array(F.collect_set(place)).alias("ranks"))
+    return plain.join(ranks, "_row", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<bigint>")))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame:
@@ -64,7 +65,7 @@ def exact_groups(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFra
     Of equal texts, the row with the smallest doc_id stays; null ids count as largest, and of rows that repeat an id and a
     text exactly one stays. Null texts equal empty ones. An empty table gives an empty result.
     """
-    rows = stored(recipes(docs, text, bits).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stored(recipes(docs, text, bits))
     groups = rows.groupBy("recipe", "ranks").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_stays")
     )
@@ -75,12 +76,13 @@ def exact_groups(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFra
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that exact_groups keeps."""
     stays = exact_groups(docs, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    own = docs.select(row_column(docs).alias("_row"), "doc_id", F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("_own"))
     left = own.join(stays, own["doc_id"].eqNullSafe(stays["_id"]) & (own["_own"] == stays["_sha"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    return own_row(left.dropDuplicates(["doc_id", "_own"]), docs, "_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every row of documents; null texts count as empty, null ids as largest."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -94,13 +94,13 @@ class Block:
         return h, np.repeat(np.arange(self.n), counts), counts
 
 
-def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Splits a list of texts into blocks of about `limit` bytes."""
+def blocks(texts: list[bytes | None], limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[Block]:
+    """Splits a list of texts into blocks of about `limit` bytes and at most `rows` texts."""
     part: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
         t = t or b""
-        if part and size + len(t) > limit:
+        if part and (size + len(t) > limit or len(part) == rows):
             yield Block(first, part)
             part, first, size = [], i, 0
         part.append(t)

@@ -23,6 +23,8 @@ BITS, SIZES = 14, (2, 3)
 #: Fitted on at most this many rows, spread evenly over the languages.
 MAX_ROWS = 4000
 UNKNOWN = "und"
+#: Texts whose n-grams are counted at once, in a table of 2**BITS numbers each.
+ROWS = 64
 #: Two best codewords whose probabilities differ by less are flagged.
 LEAD = 0.2
 
@@ -77,7 +79,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 15.
     code = codewords(max(len(names), 1))
     m = Model(names, code, np.zeros((1 << BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1]))
     rows = []
-    for block in blocks(texts, 1 << 18):
+    for block in blocks(texts, rows=ROWS):
         for x in _counts(block):
             slots = np.flatnonzero(x)
             rows.append((slots, x[slots]))
@@ -103,7 +105,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 15.
 def predict_texts(m: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the best language, its probability, and whether the second is close."""
     best, sure, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    for block in blocks(texts, 1 << 18):
+    for block in blocks(texts, rows=ROWS):
         bits = _counts(block) @ m.weights + m.bias
         loss = np.stack([(np.logaddexp(0, -bits * c) * m.trust).sum(1) for c in m.code], 1)
         loss /= m.trust.mean()
@@ -155,6 +157,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every row of documents, null and empty texts and repeated ids included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.filter(split_of(F.col("doc_id"), 3) != 1))
     held_out = (split_of(F.col("doc_id"), 3) == 1).alias("held_out")

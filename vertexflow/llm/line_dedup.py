@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import own_row, row_column, stored
 
 MIN_SITES, LG_K = 5, 12
 #: A table of more rows than this is joined by shuffle instead of broadcast.
@@ -69,27 +69,29 @@ def cleaned(docs: DataFrame, text: str = "text", site: str = "source", min_sites
     A null text stays null and has no line; an empty one has one blank line. Blank lines stay. Rows that repeat an id and a
     text are one document, and lose the same lines.
     """
-    gone = removals(occurrences(docs, text, site), min_sites, lg_k).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "removed")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    left = docs.withColumn("_own", F.xxhash64(text))
+    gone = removals(stored(occurrences(docs, text, site)), min_sites, lg_k).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "removed")
+    aside = (text, "n_lines", "n_removed")
+    left = docs.select(row_column(docs, aside).alias("_row"), "doc_id", F.col(text).alias("_text"), F.xxhash64(text).alias("_own"))
     rows = left.join(gone, left["doc_id"].eqNullSafe(gone["_id"]) & (left["_own"] == gone["_body"]), "left")
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines(F.col(text)))).cast("long")
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines(F.col("_text")))).cast("long")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
-    body = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    rows = rows.withColumn("_lines", F.when(F.col("removed").isNotNull(), lines(F.col(text))))
-    out = rows.select(*own, body.alias(text), n.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    body = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    rows = rows.withColumn("_lines", F.when(F.col("removed").isNotNull(), lines(F.col("_text"))))
+    return own_row(rows, docs, "_row", {text: body, "n_lines": n, "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every row of documents, whatever its id and text (see cleaned)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return cleaned(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, without lines that are boilerplate across sources; n_chars follows the text."""
+    """Pipeline stage: every document stays, without lines that are boilerplate across sources; n_chars follows the text
+    (null for null). All columns of `docs` come back, whatever their names, but n_lines and n_removed, which count the lines."""
     out = cleaned(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    follows = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[follows if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

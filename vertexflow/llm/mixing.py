@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .exact_math import hypergeometric_draw
-from .storage import stored
+from .storage import own_row, row_column, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
@@ -155,14 +155,16 @@ def mixed(docs: DataFrame, text: str = "text", shard_words: int = SHARD_WORDS, b
     Rows that repeat an id and a text are taken together. An empty table, or one without words, gives no rows."""
     sizes = stored(sized(docs, text).select("doc_id", "source", "size"))
     sources, blocks = plan(sizes, shard_words, block_docs)
-    own = [c for c in docs.columns if c not in ("size", "times", "shards")]
-    rows = counted(sized(docs, text), sources, blocks).filter("times > 0")
+    packed = docs.select(row_column(docs, ("mix_shard",)).alias("_row"), "doc_id", "source", F.col(text).alias("_text"))
+    rows = counted(sized(packed, "_text").drop("_text"), sources, blocks).filter("times > 0")
     shards = F.slice("shards", F.lit(1), F.col("times").cast("int"))
-    out = rows.select(*[F.col(f"`{c}`") for c in own], F.col("_key"), F.posexplode(shards).alias("_copy", "mix_shard"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", F.xxhash64("_key", "_copy")).drop("_key", "_copy")
+    out = rows.select("_row", "_key", F.posexplode(shards).alias("_copy", "_shard"))
+    out = out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("_key", "_copy"))
+    return own_row(out, docs, "_row", {"mix_shard": F.col("_shard")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row of documents; null ids, sources and texts take part as values of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = stored(sized(docs).select("doc_id", "source", "size"))
     rows = counted(sizes, *plan(sizes))
@@ -170,5 +172,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, shard by shard."""
-    return mixed(docs).select(*docs.columns)
+    """Pipeline stage: every document as often as the mix takes it, shard by shard, with all its columns (see mixed)."""
+    return mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])

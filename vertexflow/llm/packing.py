@@ -9,6 +9,7 @@ for as long as that saves bins.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ from .storage import BATCH_ROWS, small_batches, stored
 CAPACITY, END = 4096, 1
 GROUP, ROUNDS, FULL = 20_000, 4, 0.995
 VOCABULARY = "word_bpe_49k.json"
+#: How the vocabulary above folds and cuts texts, from its own file.
+FOLDS = r"""{"normalizers": [{"type": "NFC"}, {"content": " ", "pattern": {"Regex": "\\s+"}, "type": "Replace"}, {"type": "Lowercase"}], "type": "Sequence"}"""
+SPLITS = r"""{"pretokenizers": [{"behavior": "Removed", "invert": true, "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "type": "Split"}, {"add_prefix_space": false, "trim_offsets": true, "type": "ByteLevel", "use_regex": false}], "type": "Sequence"}"""
 #: Parts of texts that a Python worker remembers before it starts afresh.
 REMEMBERED = 250_000
 
@@ -76,8 +80,9 @@ def spread(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
 class Encoder:
     """Token ids of texts.
 
-    The vocabulary drops white space before it merges anything, so the ids of a text are those of the parts between its
-    blanks and line feeds, one after the other; each distinct part is encoded once as long as it is remembered. Letters are
+    A vocabulary that cuts texts as SPLITS says drops white space before it merges anything, so the ids of a text are those of
+    the parts between its blanks and line feeds, one after the other; each distinct part is encoded once as long as it is
+    remembered. Whole texts are encoded with any other vocabulary. Letters are
     merged apart from punctuation after them, so a part of letters with such a tail is looked up in two; many words are
     encoded in one call and told apart by the ids that end a word.
     """
@@ -90,6 +95,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
+        whole = json.loads(self.tokenizer.to_str())
+        self.splits = [json.dumps(whole[k], sort_keys=True) for k in ("normalizer", "pre_tokenizer")] == [FOLDS, SPLITS] and whole["model"].get("end_of_word_suffix") == "</w>"
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
@@ -140,6 +147,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and for each text where its ids end."""
+        if not self.splits:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1]) if len(got) else 0), ends
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         parts, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -250,7 +261,9 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def _pack(items: DataFrame, capacity: int, group: int, turn: int) -> DataFrame:
     """Adds turn, part, bin, fill (of the bin), gap (of the part: its bins above its lower bound) to items."""
     parts = max(1, -(-items.count() // group))
-    keyed = items.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece"), F.lit(parts)))
+    # rows without an id would otherwise meet where their pieces agree
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    keyed = items.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", salt), F.lit(parts)))
     schema = keyed.selectExpr("*", "0L AS bin", "0L AS fill", "0L AS gap").schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -296,6 +309,21 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: i
     return placed.unionByName(alone)
 
 
+def certificates(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """part, bins, bound (that the part's lengths need in any packing) and gap for each group of short pieces in the result of
+    `pack`; a group without a gap is packed as well as it can be. The lengths of a group are counted before they meet."""
+    rows = placed.filter(F.col("length") < capacity).withColumn("part", F.shiftright("sequence_id", 24))
+    bins = rows.groupBy("part").agg(F.count_distinct("sequence_id").alias("bins"))
+    lengths = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
+
+    def bound(part: pd.DataFrame) -> pd.DataFrame:
+        every = np.repeat(part["length"].to_numpy(), part["n"].to_numpy())
+        return pd.DataFrame({"part": part["part"].iloc[:1], "bound": [lower_bound(every, capacity)]})
+
+    out = bins.join(lengths.groupBy("part").applyInPandas(bound, "part long, bound long"), "part")
+    return out.select("part", "bins", "bound", (F.col("bins") - F.col("bound")).alias("gap"))
+
+
 def packed_sequences(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """sequence_id and ids (the tokens of its pieces in place, `capacity` at most) of every sequence."""
     cut = stored(pieces(docs, text, vocabulary, capacity, with_ids=True))
@@ -313,9 +341,11 @@ def packed(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, re
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of documents; a null text has the end id alone."""
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), remembered=1_200_000, batch=2 * BATCH_ROWS)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the place of every document's pieces; a document that the mix repeats is packed each time."""
+    """Pipeline stage: the place of every document's pieces; a document that the mix repeats is packed each time. A null text has
+    the end id alone; null and repeated ids are documents like any other; other columns are not read."""
     return packed(docs)

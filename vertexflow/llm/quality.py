@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROW
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of documents, null and empty texts and repeated ids included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(split_of(F.col("doc_id"), 5) != 0)
     scored = score(docs.select("doc_id", "text"), train(docs, labels), out="score")

@@ -43,7 +43,8 @@ def _repeated_words(df: DataFrame) -> DataFrame:
 def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns and n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_repeat_words of each row.
 
-    A null text has no words.
+    A null text has no words. Every row counts by itself, whatever its id. Lines and windows are compared whole, so ties play no
+    part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, SPACE), "")
@@ -104,6 +105,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and the verdict of every row of documents (see judged)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -12,9 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import own_row, row_column, stored
 
 LIMIT, HASH_BITS, BITS = 16 << 20, 60, 12
 #: A directory of more rows than this is joined by shuffle instead of broadcast.
@@ -42,15 +41,15 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> list[DataFrame]:
         cells = rows.groupBy("_top", "cell").agg(F.sum("_bytes").alias("size"), F.min("_hash").alias("lo"), F.max("_hash").alias("hi"))
         prefix = bucket = F.lit(None).cast("long")
         level = F.lit(None).cast("int")
-        # from the deepest level up, so that the shallowest bucket that fits wins
-        for d in range(depth, done - (done == 0), -1):
-            group = Window.partitionBy("_top", F.shiftright("cell", depth - d))
-            total = F.sum("size").over(group)
-            fits = (total <= limit) | (F.min("lo").over(group) == F.max("hi").over(group))
-            prefix = F.when(fits, F.shiftright("cell", depth - d)).otherwise(prefix)
-            level = F.when(fits, F.lit(d)).otherwise(level)
-            bucket = F.when(fits, total).otherwise(bucket)
-        found = stored(cells.select("cell", prefix.alias("prefix"), level.alias("depth"), bucket.alias("bytes")))
+        cells = stored(cells)
+        # every cell belongs to one bucket of each level; the shallowest that fits is its own
+        first = done + (done > 0)
+        up = cells.select("cell", "size", "lo", "hi", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth"))
+        up = up.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(depth) - F.col("depth")))
+        totals = up.groupBy("depth", "prefix").agg(F.sum("size").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        fits = totals.filter((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "prefix", "bytes")
+        own = up.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "bytes")).alias("b"))
+        found = stored(cells.select("cell").join(own, "cell", "left").select("cell", "b.prefix", "b.depth", "b.bytes"))
         rounds.append(found)
         more = found.filter("prefix IS NULL").select("cell")
         if more.isEmpty():
@@ -66,14 +65,13 @@ def sharded(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFram
     a text). Null ids and texts count as empty."""
     rounds = directory(hashed(docs.select("doc_id", text), text), limit)
     new = ("shard_prefix", "shard_depth", "shard_bytes")
-    rows = hashed(docs.drop(*new), text)
+    rows = hashed(docs.select(row_column(docs, new).alias("_row"), "doc_id", F.col(text).alias("_text")), "_text").select("_row", "_hash")
     for i, found in enumerate(rounds):
         table = found.select(F.col("cell").alias(f"_c{i}"), *[F.col(c).alias(f"_{c}{i}") for c in ("prefix", "depth", "bytes")])
         table = F.broadcast(table) if found.count() <= SMALL else table
         rows = rows.join(table, F.shiftright("_hash", HASH_BITS - BITS * (i + 1)) == F.col(f"_c{i}"), "left")
     names = zip(new, ("prefix", "depth", "bytes"), strict=True)
-    own = [c for c in docs.columns if c not in new]
-    return rows.select(*[F.col(f"`{c}`") for c in own], *[reduce(F.coalesce, [F.col(f"_{c}{i}") for i in range(len(rounds))]).alias(n) for n, c in names])
+    return own_row(rows, docs, "_row", {n: reduce(F.coalesce, [F.col(f"_{c}{i}") for i in range(len(rounds))]) for n, c in names})
 
 
 def write_shards(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> None:
@@ -83,10 +81,21 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket of every row of documents; null ids and texts count as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return sharded(docs).select("doc_id", "shard_prefix", "shard_depth", "shard_bytes")
 
 
+#: A limit that even small tables split at, beyond the first BITS levels.
+SMALL_LIMIT = 2048
+
+
+def query_of_2k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of every row of documents under SMALL_LIMIT."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return sharded(docs, limit=SMALL_LIMIT).select("doc_id", "shard_prefix", "shard_depth", "shard_bytes")
+
+
 def oracle(limit: int = LIMIT) -> str:
     return f"""
 WITH RECURSIVE h AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, {HASH_BITS // 4}))::BIGINT AS h,

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import small_batches, stored
+from .storage import own_row, row_column, small_batches, stored
 
 SHINGLE, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 3, 6, 256
 #: A table of more rows than this is joined by shuffle instead of broadcast.
@@ -45,17 +45,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of each row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", body: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and, if asked for, body (the text's md5) of each row; a null text counts
+    as empty."""
     small_batches(docs.sparkSession)
-    frame = docs.select("doc_id", F.col(text).cast("binary").alias("fp"))
+    mark = [F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("body")] if body else []
+    frame = docs.select("doc_id", *mark, F.col(text).cast("binary").alias("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=b.schema.names)
 
-    return frame.mapInArrow(run, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return frame.mapInArrow(run, frame.withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def signed(x: int) -> int:
@@ -103,6 +105,13 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(_through_values(members.filter(F.col("n") > bucket).select("fp").distinct()))
 
 
+def _rooted(rows: DataFrame, bucket: int) -> DataFrame:
+    """fp and root (the same for all fingerprints of a component) of the distinct fingerprints of `rows`."""
+    distinct = stored(rows.select("fp").distinct())
+    found = components(links(distinct, bucket))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to) of each row of `docs`.
 
@@ -110,35 +119,32 @@ def near_groups(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> Da
     null ids only has a null component_id. Rows that repeat an id stay separate rows.
     """
     rows = stored(fingerprints(docs, text))
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"), bucket))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    rooted = stored(_rooted(rows, bucket))
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = rooted.join(ids, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(rooted.join(least, "root").select("fp", "component_id"))
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id is the least of their component; one row of each such id.
-
-    Of rows with null ids, one of each component that has no other id stays.
-    """
-    groups = stored(near_groups(docs, text))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = kept.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id IS NULL")
-    if kept.filter("doc_id IS NULL").isEmpty():
-        return stay
-    # texts without an id have no name to join by; equal texts stand for each other
-    return stay.unionByName(unnamed.dropDuplicates([text]))
+def deduplicate(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row of each component, with all its columns: the one of the least id, null ids last; of rows that agree in the id,
+    the one whose text has the least md5; of rows that agree in both, any one. Null and empty texts count as equal."""
+    rows = stored(fingerprints(docs, text, body=True))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
+    first = rows.groupBy("fp").agg(F.min(place).alias("first"))
+    stays = stored(_rooted(rows, bucket).join(first, "fp").groupBy("root").agg(F.min("first").alias("first")))
+    stays = stays.select(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_stays"))
+    own = docs.select(row_column(docs).alias("_row"), "doc_id", F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_body"))
+    left = own.join(stays, own["doc_id"].eqNullSafe(stays["_id"]) & (own["_body"] == stays["_stays"]), "left_semi")
+    return own_row(left.dropDuplicates(["doc_id", "_body"]), docs, "_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of documents (see near_groups)."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays, unchanged."""
-    return deduplicate(docs).select(*docs.columns)
+    """Pipeline stage: one document of each group of near copies stays, unchanged (see deduplicate)."""
+    return deduplicate(docs)

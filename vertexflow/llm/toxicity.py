@@ -38,7 +38,7 @@ class Model:
 class Ftrl:
     """FTRL-proximal over binary features; slot 2**bits is the bias and has no L1 term."""
 
-    def __init__(self, bits: int, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.5, l2: float = 0.5) -> None:
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.5) -> None:
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
 
@@ -48,18 +48,19 @@ class Ftrl:
         w = (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
+    def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
         w = self.weights(at)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = weight * (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 6, seed: int = 7, least: int = 4) -> Model:
+def fit(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 2, seed: int = 7, least: int = 4) -> Model:
     """Trains on the texts in `epochs` seeded orders; coordinates that fewer than `least` texts have stay at zero.
 
-    No text: a model that scores 0.5 everywhere.
+    The rarer label weighs more, by the root of how much rarer it is. Few passes and a strong L1 term keep chance pairs of
+    long texts out of the model. No text: a model that scores 0.5 everywhere.
     """
     learner = Ftrl(bits)
     found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
@@ -77,9 +78,11 @@ def fit(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 6,
     slots, starts = slots[live], np.append(0, ends)
     bias = np.array([1 << bits], np.int32)
     order = np.random.default_rng(seed)
+    counts = np.bincount(np.asarray(labels, int), minlength=2) if labels else np.ones(2)
+    weight = np.sqrt(np.maximum(1.0, counts.max() / np.maximum(counts, 1)))
     for _ in range(epochs):
         for i in order.permutation(len(ends)):
-            learner.learn(np.append(slots[starts[i] : ends[i]], bias), int(labels[i]))
+            learner.learn(np.append(slots[starts[i] : ends[i]], bias), int(labels[i]), weight[int(labels[i])])
     at = np.flatnonzero(np.abs(learner.z[:-1]) > learner.l1)
     return Model(bits, at, learner.weights(at).astype(np.float32), float(learner.weights(bias)[0]))
 
@@ -128,6 +131,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of documents, null and empty texts and repeated ids included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs.select("doc_id", "text"), train(docs, learnable(labels)), out="score")
@@ -139,13 +143,14 @@ REJECT = 0.7
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score at or above REJECT go, all others stay unchanged."""
+    """Pipeline stage: documents that score at or above REJECT go, all others stay unchanged (see filtered)."""
     model = train(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return filtered(docs, model)
 
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score below REJECT."""
+    """The rows of `docs`, with all their columns, that score below REJECT. A null text scores as an empty one and stays null;
+    ids play no part, so null and repeated ids are rows like any other. An empty table gives none."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
