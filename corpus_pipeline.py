@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexflow.llm import line_dedup, mixing, packing, simhash, toxicity
-from vertexflow.llm.storage import shared_folder
+from vertexflow.llm.storage import new_path
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
@@ -18,13 +16,14 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Classifier, fingerprints, draws and packing have no SQL form; the stages are tested against brute force instead.
+#: Classifier, fingerprints, draws and packing have no SQL form; tests/llm compares the stages and their
+#: chain with brute force on planted tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's rows are written as Parquet in the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
