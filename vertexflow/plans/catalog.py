@@ -194,9 +194,9 @@ def _trace(algorithm: Callable[..., tuple[DataFrame, int]], **kw: object) -> Cal
 
 
 def _supersteps(edges: DataFrame) -> DataFrame:
-    """How many supersteps three programs make."""
+    """How many supersteps two programs make."""
     edges = stored(edges)
-    done = {"SSSP": alg.sssp(edges)[1], "PageRank": alg.pagerank(edges)[1], "HITS dense": alg.hits(edges, dense=True)[1]}
+    done = {"SSSP": alg.sssp(edges)[1], "PageRank": alg.pagerank(edges)[1]}
     return edges.sparkSession.createDataFrame(list(done.items()), "program string, supersteps int")
 
 
@@ -531,8 +531,7 @@ ORACLES: dict[str, str] = {
     "s12_hits_trace": _with(FLOW, _hits_steps(HITS_STEPS, False) + " " + _HITS_TRACE),
     "s12_scc_trace": _with(CUT, _INSIDE + ", " + _run("x", "SCC", "ie", "(SELECT 0::BIGINT AS trial)", _NO_PLAN, "9999") + " SELECT k AS iter, v AS vertex FROM x WHERE active", True),
     "g6_supersteps": _with(CHAIN, _SHARES + "".join(f", {_run(x, n, e, '(SELECT 0::BIGINT AS trial)', _NO_PLAN, '9999')}" for x, n, e in (("xs", "SSSP", "e"), ("xp", "PageRank", "pe")))
-        + _hits_steps(12, True) + " " + " UNION ALL ".join([*(_STEPS_OF.format(n, x) for n, x in (("SSSP", "xs"), ("PageRank", "xp"))),
-        "SELECT 'HITS dense', (" + " + ".join(f"(SELECT max(active)::INT FROM s{i})" for i in range(12)) + ")::INT"]), True),
+        + " " + " UNION ALL ".join(_STEPS_OF.format(n, x) for n, x in (("SSSP", "xs"), ("PageRank", "xp"))), True),
     "s6_ordered_edges": f"WITH e AS ({SQL[CHAIN]}) SELECT row_number() OVER (ORDER BY src, dst) AS pos, src::INT AS src, dst::INT AS dst, 1 AS w FROM e",
     "s10_ranked_file": _with(CHAIN, _pagerank_steps(UNROLL) + f" SELECT {_RANK} AS line, v AS value FROM s{UNROLL}"),
     "s11_values_file": _with(CHAIN, _sssp_steps(UNROLL) + f" SELECT row_number() OVER (ORDER BY v) AS line, d::BIGINT AS value FROM s{UNROLL}"),
