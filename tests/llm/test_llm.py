@@ -244,6 +244,47 @@ def test_near_dedup_keeps_one_of_each_component(spark):
     assert got == sorted([(3, a), (7, b), (11, ""), (None, c)], key=str)
 
 
+@pytest.mark.parametrize("bucket", [32, 1])
+def test_wide_links_against_all_pairs(spark, bucket):
+    rng, rows = random.Random(5), []
+    for i in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        rows.append(base)
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.choice([1, 2, 3, 6])):
+                copy[at] = f"x{rng.randrange(400)}"
+            rows.append(copy)
+    texts = [*map(" ".join, rows), None, "", "two words", "two other"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raws = [(t or "").encode() for t in texts]
+    fps, sketches, sets = ([f(t) for t in raws] for f in (simhash.fingerprint, simhash.sketch, lambda t: set(simhash._hashes(t, 5).tolist())))
+    masks = simhash.block_masks(simhash.FAR_BLOCKS, simhash.FAR_BLOCKS - simhash.FAR_AGREE)
+    root, alike, linked = list(range(len(texts))), 0, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        bits = fps[a] ^ fps[b]
+        apart = sum((x ^ y).bit_count() for x, y in zip(sketches[a], sketches[b], strict=True))
+        similar = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        meet = bits.bit_count() <= simhash.FAR and not all(bits & m for m in masks)
+        link = bits.bit_count() <= 3 or (meet and (apart <= simhash.SURE or (apart <= simhash.DOUBTFUL and similar)))
+        alike, linked = alike + similar, linked + (similar and link)
+        if link:
+            root[find(a)] = find(b)
+    rows = simhash.fingerprints(frame, body=True).cache()
+    roots = {r["fp"]: r["root"] for r in simhash._rooted_far(rows, frame, "text", bucket).collect()}
+    got = [roots[simhash.signed(f)] for f in fps]
+    assert all((got[a] == got[b]) == (find(a) == find(b)) for a, b in combinations(range(len(texts)), 2))
+    assert linked >= 0.8 * alike > 0
+    kept = {r["doc_id"] for r in simhash.deduplicate(frame, wide=True).collect()}
+    assert kept == {min(i for i in range(len(texts)) if find(i) == find(r)) for r in range(len(texts))}
+
+
 def extendible(items, limit, bits):
     """(prefix, depth, bytes) of each (hash, size), splitting a bucket that is too large on one more bit."""
     out = {}

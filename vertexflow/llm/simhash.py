@@ -4,6 +4,11 @@ A fingerprint has 64 bits in six blocks. Two fingerprints that differ in at most
 blocks, so they meet under one of the twenty keys that three blocks make, of some 32 bits each. Only distinct fingerprints
 take part, so exact copies cost nothing. A bucket of more than BUCKET fingerprints is not joined with itself: its members
 are linked through the values near them instead, in a number of rows that grows with the members, not with their pairs.
+
+The pipeline's stage looks wider, for texts whose five-word shingles are 0.8 alike (Jaccard): fingerprints that agree on three
+of nine blocks meet, which all within six bits do, and most within ten. Beyond three bits, the distance of two sketches
+decides, fingerprints of 256 bits over five-word shingles: small ones link, large ones don't, and between them the shingles
+themselves are compared.
 """
 
 from __future__ import annotations
@@ -21,43 +26,68 @@ from .components import components
 from .storage import own_row, row_column, small_batches, stored
 
 SHINGLE, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 3, 6, 256
+#: The wide form: bits between fingerprints; blocks, and how many of them agree; members of a bucket that are joined at once,
+#: parts of the join of larger ones; words of a shingle, its similarity, bits between sketches that surely link and that may.
+FAR, FAR_BLOCKS, FAR_AGREE, FAR_BUCKET, PARTS = 10, 9, 3, 32, 16
+LONG_SHINGLE, SIMILAR, SURE, DOUBTFUL = 5, 0.8, 30, 52
+SKETCH = ["s0", "s1", "s2", "s3"]
 #: A table of more rows than this is joined by shuffle instead of broadcast.
 SMALL = 200_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if more than half of the text's shingles have it set in their hash; 0 without a word."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of the text, of the whole sequence if it has fewer words; nothing without a word."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        spans = zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = [xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans]
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    spans = zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if more than half of the hashes have it set."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[i : i + (1 << 14)], "<u8")
+        part = hashes[i : i + (1 << 14)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if more than half of the text's shingles have it set in their hash; 0 without a word."""
+    return _majority(_hashes(text, shingle))
+
+
+def sketch(text: bytes | None) -> list[int]:
+    """Four fingerprints over five-word shingles, the hashes mixed anew for each."""
+    hashes, out = _hashes(text, LONG_SHINGLE), []
+    for _ in SKETCH:
+        out.append(_majority(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return out
+
+
 def fingerprints(docs: DataFrame, text: str = "text", body: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and, if asked for, body (the text's md5) of each row; a null text counts
-    as empty."""
+    """doc_id, fp (the fingerprint's bits as a long) and, if asked for, body (the text's md5) and the sketch's columns of each
+    row; a null text counts as empty."""
     small_batches(docs.sparkSession)
     mark = [F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("body")] if body else []
-    frame = docs.select("doc_id", *mark, F.col(text).cast("binary").alias("fp"))
+    names = ["fp", *SKETCH] if body else ["fp"]
+    raw = docs.select("doc_id", *mark, F.col(text).cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(b.num_columns - 1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=b.schema.names)
+            texts = (t.as_py() for t in b.column(b.num_columns - 1))
+            bits = [[fingerprint(t), *sketch(t)] if body else [fingerprint(t)] for t in texts]
+            made = np.array(bits, np.uint64).reshape(-1, len(names)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], *names])
 
-    return frame.mapInArrow(run, frame.withColumn("fp", F.lit(0).cast("long")).schema)
+    return raw.mapInArrow(run, raw.drop("raw").select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
 
 
 def signed(x: int) -> int:
@@ -71,8 +101,8 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [sum(c) for c in combinations(whole, blocks - distance)]
 
 
-def near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
+def near(a: Column, b: Column, distance: int = DISTANCE) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
 def _through_values(members: DataFrame) -> DataFrame:
@@ -92,19 +122,108 @@ def _through_values(members: DataFrame) -> DataFrame:
     return values(2).join(anchors, "value").filter("fp <> anchor").select(F.col("fp").alias("a"), F.col("anchor").alias("b")).distinct()
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (one column fp) whose components are those of all close pairs."""
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(block_masks())])
+def _members(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """fp, t, k, n: each fingerprint under each key (mask t and the bits k that it leaves) that it shares with n - 1 others."""
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for i, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k")
     shared = stored(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"))
     few = shared.count() <= SMALL
-    members = stored(keyed.join(F.broadcast(shared) if few else shared, ["t", "k"]))
-    rest = members.filter(F.col("n") <= bucket)
-    left, right = (rest.select("t", "k", F.col("fp").alias(c)) for c in "ab")
-    pairs = left.join(right, (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    return stored(keyed.join(F.broadcast(shared) if few else shared, ["t", "k"]))
+
+
+def _pairs(members: DataFrame, distance: int) -> DataFrame:
+    left, right = (members.select("t", "k", F.col("fp").alias(c)) for c in "ab")
+    met = (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.col("a") < F.col("b"))
+    return left.join(right, met & near(F.col("a"), F.col("b"), distance)).select("a", "b")
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (one column fp) whose components are those of all close pairs."""
+    members = _members(distinct, block_masks())
+    pairs = _pairs(members.filter(F.col("n") <= bucket), DISTANCE)
     return pairs.union(_through_values(members.filter(F.col("n") > bucket).select("fp").distinct()))
 
 
+def _judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, sure of each different pair of fingerprints that link or may."""
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("fp").alias(c), F.array(*SKETCH).alias("of_" + c)), c)
+    apart = sum((F.bit_count(F.col("of_a")[i].bitwiseXOR(F.col("of_b")[i])) for i in range(len(SKETCH))), F.lit(0))
+    sure = near(F.col("a"), F.col("b")) | (apart <= SURE)
+    return pairs.select("a", "b", sure.alias("sure"), apart.alias("apart")).filter(F.col("sure") | (F.col("apart") <= DOUBTFUL)).drop("apart")
+
+
+def _rooted_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of `pairs` whose ends are in different components of `found`."""
+    for c in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("root").alias("root_" + c)), c, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
+def _across(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs within the buckets `hot` between different components; a bucket of one component makes none."""
+    rooted = hot.join(found, hot["fp"] == found["node"], "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted)
+    split = rooted.groupBy("t", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "k")
+    open_ = stored(rooted.join(split, ["t", "k"], "left_semi"))
+    left = open_.select("t", "k", F.col("fp").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("fp"), F.lit(PARTS)).alias("part"))
+    right = open_.select("t", "k", F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    return left.join(right, ["t", "k", "part"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("a"), F.col("b"), FAR)).select("a", "b")
+
+
+def shingle_sets(bodies: DataFrame) -> DataFrame:
+    """body and shingles (the hashes of the different five-word shingles) of the rows body, raw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_hashes(t.as_py(), LONG_SHINGLE)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["body", "shingles"])
+
+    return bodies.mapInArrow(run, "body string, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs whose texts' five-word shingles are SIMILAR or more alike; of a fingerprint's texts, that of least sketch and
+    md5 stands for all."""
+    wanted = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "body"))
+    bodies = wanted.select("body").distinct()
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    texts = docs.select(F.md5(raw).alias("body"), raw.alias("raw"))
+    texts = texts.join(F.broadcast(bodies) if wanted.count() <= SMALL else bodies, "body", "left_semi")
+    sets = stored(wanted.join(shingle_sets(texts).dropDuplicates(["body"]), "body").select("fp", "shingles"))
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("fp").alias(c), F.col("shingles").alias("of_" + c)), c)
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
+
+
+def _rooted_far(rows: DataFrame, docs: DataFrame, text: str, bucket: int = FAR_BUCKET) -> DataFrame:
+    """fp and root of the distinct fingerprints of `rows` by the wide rule.
+
+    Pairs within a bucket of up to `bucket` members are all formed. In a larger one each member meets three of them; of what
+    this leaves in different components, all pairs are formed, so no link is lost. Exact comparison is left to pairs that
+    the sketches leave open and whose ends are in different components.
+    """
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(*SKETCH, "body")).alias("x")).select("fp", "x.*"))
+    members = _members(nodes.select("fp"), block_masks(FAR_BLOCKS, FAR_BLOCKS - FAR_AGREE))
+    hot = members.filter(F.col("n") > bucket)
+    pivots = hot.groupBy("t", "k").agg(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("pivots"))
+    spread = hot.join(pivots, ["t", "k"]).select(F.col("fp").alias("a"), F.explode("pivots").alias("b"))
+    spread = spread.filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"), FAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = stored(_judged(_pairs(members.filter(F.col("n") <= bucket), FAR).union(spread).distinct(), nodes))
+    sure = first.filter("sure").select("a", "b")
+    found = stored(components(sure))
+    more = stored(_judged(_across(hot, found).distinct(), nodes))
+    sure = sure.union(more.filter("sure").select("a", "b"))
+    if not more.filter("sure").isEmpty():
+        found = stored(components(sure))
+    doubtful = stored(_rooted_pairs(first.union(more).filter("NOT sure").select("a", "b").distinct(), found))
+    alike = stored(_alike(doubtful, nodes, docs, text))
+    if not alike.isEmpty():
+        found = stored(components(sure.union(alike)))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def _rooted(rows: DataFrame, bucket: int) -> DataFrame:
     """fp and root (the same for all fingerprints of a component) of the distinct fingerprints of `rows`."""
     distinct = stored(rows.select("fp").distinct())
@@ -127,13 +246,15 @@ def near_groups(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> Da
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", bucket: int = BUCKET, wide: bool = False) -> DataFrame:
     """One row of each component, with all its columns: the one of the least id, null ids last; of rows that agree in the id,
-    the one whose text has the least md5; of rows that agree in both, any one. Null and empty texts count as equal."""
+    the one whose text has the least md5; of rows that agree in both, any one. Null and empty texts count as equal. With
+    `wide`, texts whose five-word shingles are 0.8 alike are linked as well, as far as their fingerprints meet."""
     rows = stored(fingerprints(docs, text, body=True))
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
     first = rows.groupBy("fp").agg(F.min(place).alias("first"))
-    stays = stored(_rooted(rows, bucket).join(first, "fp").groupBy("root").agg(F.min("first").alias("first")))
+    rooted = _rooted_far(rows, docs, text) if wide else _rooted(rows, bucket)
+    stays = stored(rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("first")))
     stays = stays.select(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_stays"))
     own = docs.select(row_column(docs).alias("_row"), "doc_id", F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_body"))
     left = own.join(stays, own["doc_id"].eqNullSafe(stays["_id"]) & (own["_body"] == stays["_stays"]), "left_semi")
@@ -146,5 +267,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays, unchanged (see deduplicate)."""
-    return deduplicate(docs)
+    """Pipeline stage: one document of each group of near copies stays, unchanged (see deduplicate, wide)."""
+    return deduplicate(docs, wide=True)
