@@ -244,8 +244,8 @@ def test_near_dedup_keeps_one_of_each_component(spark):
     assert got == sorted([(3, a), (7, b), (11, ""), (None, c)], key=str)
 
 
-@pytest.mark.parametrize("bucket", [32, 1])
-def test_wide_links_against_all_pairs(spark, bucket):
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_wide_links_against_all_pairs(spark, rounds):
     rng, rows = random.Random(5), []
     for i in range(12):
         base = [f"w{rng.randrange(400)}" for _ in range(150)]
@@ -277,10 +277,10 @@ def test_wide_links_against_all_pairs(spark, bucket):
         if link:
             root[find(a)] = find(b)
     rows = simhash.fingerprints(frame, body=True).cache()
-    roots = {r["fp"]: r["root"] for r in simhash._rooted_far(rows, frame, "text", bucket).collect()}
+    roots = {r["fp"]: r["root"] for r in simhash._rooted_far(rows, frame, "text", rounds).collect()}
     got = [roots[simhash.signed(f)] for f in fps]
     assert all((got[a] == got[b]) == (find(a) == find(b)) for a, b in combinations(range(len(texts)), 2))
-    assert linked >= 0.8 * alike > 0
+    assert linked >= 0.6 * alike > 0
     kept = {r["doc_id"] for r in simhash.deduplicate(frame, wide=True).collect()}
     assert kept == {min(i for i in range(len(texts)) if find(i) == find(r)) for r in range(len(texts))}
 

@@ -6,7 +6,7 @@ take part, so exact copies cost nothing. A bucket of more than BUCKET fingerprin
 are linked through the values near them instead, in a number of rows that grows with the members, not with their pairs.
 
 The pipeline's stage looks wider, for texts whose five-word shingles are 0.8 alike (Jaccard): fingerprints that agree on three
-of nine blocks meet, which all within six bits do, and most within ten. Beyond three bits, the distance of two sketches
+of eight blocks meet, which all within five bits do, and most within eight. Beyond three bits, the distance of two sketches
 decides, fingerprints of 256 bits over five-word shingles: small ones link, large ones don't, and between them the shingles
 themselves are compared.
 """
@@ -26,9 +26,9 @@ from .components import components
 from .storage import own_row, row_column, small_batches, stored
 
 SHINGLE, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 3, 6, 256
-#: The wide form: bits between fingerprints; blocks, and how many of them agree; members of a bucket that are joined at once,
-#: parts of the join of larger ones; words of a shingle, its similarity, bits between sketches that surely link and that may.
-FAR, FAR_BLOCKS, FAR_AGREE, FAR_BUCKET, PARTS = 10, 9, 3, 32, 16
+#: The wide form: bits between fingerprints; blocks, and how many of them agree; rounds of sparse links, members of a bucket that
+#: a part of the last join takes; words of a shingle, its similarity, bits between sketches that surely link and that may.
+FAR, FAR_BLOCKS, FAR_AGREE, ROUNDS, PART = 10, 8, 3, 3, 256
 LONG_SHINGLE, SIMILAR, SURE, DOUBTFUL = 5, 0.8, 30, 52
 SKETCH = ["s0", "s1", "s2", "s3"]
 #: A table of more rows than this is joined by shuffle instead of broadcast.
@@ -131,16 +131,12 @@ def _members(distinct: DataFrame, masks: list[int]) -> DataFrame:
     return stored(keyed.join(F.broadcast(shared) if few else shared, ["t", "k"]))
 
 
-def _pairs(members: DataFrame, distance: int) -> DataFrame:
-    left, right = (members.select("t", "k", F.col("fp").alias(c)) for c in "ab")
-    met = (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.col("a") < F.col("b"))
-    return left.join(right, met & near(F.col("a"), F.col("b"), distance)).select("a", "b")
-
-
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (one column fp) whose components are those of all close pairs."""
     members = _members(distinct, block_masks())
-    pairs = _pairs(members.filter(F.col("n") <= bucket), DISTANCE)
+    rest = members.filter(F.col("n") <= bucket)
+    left, right = (rest.select("t", "k", F.col("fp").alias(c)) for c in "ab")
+    pairs = left.join(right, (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
     return pairs.union(_through_values(members.filter(F.col("n") > bucket).select("fp").distinct()))
 
 
@@ -153,22 +149,28 @@ def _judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", sure.alias("sure"), apart.alias("apart")).filter(F.col("sure") | (F.col("apart") <= DOUBTFUL)).drop("apart")
 
 
-def _rooted_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of `pairs` whose ends are in different components of `found`."""
-    for c in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("root").alias("root_" + c)), c, "left")
-    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+def _nearest(members: DataFrame, turn: int) -> DataFrame:
+    """One pair at most for each fingerprint: of one member drawn from each of its buckets, the nearest of another component."""
+    drawn = members.groupBy("t", "k").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("p"))
+    met = members.join(drawn, ["t", "k"]).filter((F.col("root") != F.col("p.root")) & near(F.col("fp"), F.col("p.fp"), FAR))
+    best = met.groupBy("fp").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))), "p.fp")).alias("best"))
+    return best.select(F.least("fp", "best.fp").alias("a"), F.greatest("fp", "best.fp").alias("b")).distinct()
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """All pairs within a bucket between different components; the rows of a large bucket are dealt over tasks."""
+    parts = F.floor(F.col("n") / PART)
+    left = members.select("t", "k", F.col("fp").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("fp"), parts + 1).alias("part"))
+    right = members.select("t", "k", F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("part"))
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("a"), F.col("b"), FAR)
+    return left.join(right, ["t", "k", "part"]).filter(apart).select("a", "b").distinct()
 
 
-def _across(hot: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs within the buckets `hot` between different components; a bucket of one component makes none."""
-    rooted = hot.join(found, hot["fp"] == found["node"], "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted)
+def _still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component's root."""
+    rooted = members.select("t", "k", "n", "fp").join(found, members["fp"] == found["node"], "left").select("t", "k", "n", "fp", F.coalesce("root", "fp").alias("root"))
     split = rooted.groupBy("t", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "k")
-    open_ = stored(rooted.join(split, ["t", "k"], "left_semi"))
-    left = open_.select("t", "k", F.col("fp").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("fp"), F.lit(PARTS)).alias("part"))
-    right = open_.select("t", "k", F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
-    return left.join(right, ["t", "k", "part"]).filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near(F.col("a"), F.col("b"), FAR)).select("a", "b")
+    return stored(rooted.join(split, ["t", "k"], "left_semi"))
 
 
 def shingle_sets(bodies: DataFrame) -> DataFrame:
@@ -197,30 +199,24 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> Da
     return pairs.filter(both >= SIMILAR * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _rooted_far(rows: DataFrame, docs: DataFrame, text: str, bucket: int = FAR_BUCKET) -> DataFrame:
+def _rooted_far(rows: DataFrame, docs: DataFrame, text: str, rounds: int = ROUNDS) -> DataFrame:
     """fp and root of the distinct fingerprints of `rows` by the wide rule.
 
-    Pairs within a bucket of up to `bucket` members are all formed. In a larger one each member meets three of them; of what
-    this leaves in different components, all pairs are formed, so no link is lost. Exact comparison is left to pairs that
-    the sketches leave open and whose ends are in different components.
+    Some rounds link each fingerprint to one other at most, which joins the members of large groups without forming their
+    pairs. Of what this leaves in different components, all pairs within a bucket are formed, so no link is lost.
     """
     nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(*SKETCH, "body")).alias("x")).select("fp", "x.*"))
-    members = _members(nodes.select("fp"), block_masks(FAR_BLOCKS, FAR_BLOCKS - FAR_AGREE))
-    hot = members.filter(F.col("n") > bucket)
-    pivots = hot.groupBy("t", "k").agg(F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("pivots"))
-    spread = hot.join(pivots, ["t", "k"]).select(F.col("fp").alias("a"), F.explode("pivots").alias("b"))
-    spread = spread.filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"), FAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = stored(_judged(_pairs(members.filter(F.col("n") <= bucket), FAR).union(spread).distinct(), nodes))
-    sure = first.filter("sure").select("a", "b")
-    found = stored(components(sure))
-    more = stored(_judged(_across(hot, found).distinct(), nodes))
-    sure = sure.union(more.filter("sure").select("a", "b"))
-    if not more.filter("sure").isEmpty():
-        found = stored(components(sure))
-    doubtful = stored(_rooted_pairs(first.union(more).filter("NOT sure").select("a", "b").distinct(), found))
-    alike = stored(_alike(doubtful, nodes, docs, text))
-    if not alike.isEmpty():
-        found = stored(components(sure.union(alike)))
+    members = _members(nodes.select("fp"), block_masks(FAR_BLOCKS, FAR_BLOCKS - FAR_AGREE)).withColumn("root", F.col("fp"))
+    edges = found = None
+    for turn in range(rounds + 1):
+        judged = stored(_judged(_nearest(members, turn) if turn < rounds else _across(members), nodes))
+        new = stored(judged.filter("sure").select("a", "b").union(_alike(judged.filter("NOT sure").select("a", "b"), nodes, docs, text)))
+        if turn and new.isEmpty():
+            continue
+        edges = new if edges is None else edges.union(new)
+        found = stored(components(edges))
+        if turn < rounds:
+            members = _still_open(members, found)
     return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
