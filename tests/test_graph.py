@@ -1,6 +1,7 @@
 """Hand-made graphs, logs and files."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +309,42 @@ def test_nothing_is_left_behind(spark):
     before = spark.catalog.listTables()
     alg.pagerank(edges(spark, CYCLE))
     assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before]
+
+
+def brute_reach(pairs, starts):
+    out = set()
+    for a in starts:
+        seen, ahead = {a}, [a]
+        while ahead:
+            v = ahead.pop()
+            new = [y for x, y in pairs if x == v and y not in seen]
+            seen.update(new)
+            ahead += new
+        out |= {(a, b) for b in seen}
+    return out
+
+
+@pytest.mark.parametrize("local", [1 << 20, 40, 1])
+def test_reach_equals_brute_force(spark, monkeypatch, local):
+    """In memory as a whole, small components in memory and the large one by turns, and all by turns."""
+    monkeypatch.setattr(alg, "LOCAL", local)
+    draw = random.Random(5)
+    pairs = [(draw.randrange(30), draw.randrange(30)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(4)] + [(200, 201), (201, 200), (200, 201), (300, 300)]
+    starts = {v for p in pairs for v in p}
+    rows = [tuple(r) for r in alg.reach(edges(spark, pairs)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_reach(pairs, starts)
+    some = [0, 3, 101, 201, 999]
+    vs = spark.createDataFrame([(v,) for v in some], "v int")
+    found = alg.reach(edges(spark, pairs), vs)
+    assert found.dtypes == [("a", "int"), ("b", "int")]
+    assert {tuple(r) for r in found.collect()} == brute_reach(pairs, some)
+
+
+def test_reach_of_a_long_chain_takes_few_jobs(spark):
+    n, context = 150, spark.sparkContext
+    context.setJobGroup("chain", "reach")
+    try:
+        assert alg.reach(edges(spark, [(i, i + 1) for i in range(n)])).count() == (n + 1) * (n + 2) // 2
+        assert len(context.statusTracker().getJobIdsForGroup("chain")) < n
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
