@@ -348,3 +348,18 @@ def test_reach_of_a_long_chain_takes_few_jobs(spark):
         assert len(context.statusTracker().getJobIdsForGroup("chain")) < n
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["PageRank", "HITS"])
+def test_a_golden_superstep_reads_only_its_own_rows(spark, name):
+    golden = camp.Golden(camp.app(name), edges(spark, FAULTY), 3)
+    files = [set(golden.at(k).inputFiles()) for k in range(golden.steps + 1)]
+    assert all(files) and len(set().union(*files)) == sum(map(len, files))
+    assert {r["iter"] for r in golden.trace().collect()} == {1, 2, 3}
+    golden.drop()
+
+
+def test_flips_in_sql(spark):
+    rows = spark.createDataFrame([(x, b) for x in (0.15, -2.5, 0.0, 3e30) for b in (0, 22, 23, 30, 31)], "x double, bit int").withColumn("i", F.expr("CAST(x * 10 % 1000 AS INT)"))
+    for kind, c, flip in (("f32", "x", compare.flip_float), ("s32", "i", compare.flip_int)):
+        assert rows.filter(~F.expr(camp.FLIP[kind](c)).eqNullSafe(flip(F.col(c), F.col("bit")))).count() == 0
