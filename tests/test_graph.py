@@ -363,3 +363,48 @@ def test_flips_in_sql(spark):
     rows = spark.createDataFrame([(x, b) for x in (0.15, -2.5, 0.0, 3e30) for b in (0, 22, 23, 30, 31)], "x double, bit int").withColumn("i", F.expr("CAST(x * 10 % 1000 AS INT)"))
     for kind, c, flip in (("f32", "x", compare.flip_float), ("s32", "i", compare.flip_int)):
         assert rows.filter(~F.expr(camp.FLIP[kind](c)).eqNullSafe(flip(F.col(c), F.col("bit")))).count() == 0
+
+
+@pytest.mark.parametrize("name, gathered, column", [("SSSP", "g", "d"), ("PageRank", "phi", "rank"), ("SCC", "g", "label")])
+def test_trials_in_memory_are_those_of_spark(spark, name, gathered, column):
+    """Golden run, outcomes and end states in a task's memory against the supersteps through Spark, for faults of each phase
+    in several supersteps, one trial without a fault and one whose vertex does not exist."""
+    e = edges(spark, [*FAULTY, (3, 4), (7, 8), (9, 7), (8, 9), (6, 6)])
+    a, registers = camp.app(name, 1 if name == "SSSP" else None), {"gather": gathered, "apply": column, "scatter": "changed"}
+    faults = [(k, v, b, p) for k in (1, 2) for v in (1, 3, 8) for b in (1, 22, 30, 31) for p in camp.PHASES] + [(1, 3, None, "apply"), (1, 77, 3, "apply")]
+    rows = [(i, *f, registers[f[3]]) for i, f in enumerate(faults)]
+    plan = spark.createDataFrame(rows, "trial long, iter int, vertex long, bit int, kernel string, register string")
+    golden, own = camp.Golden(a, e), camp.LocalGolden(a, camp.local_rows(a, e), (name, column))
+    assert own.steps == golden.steps and sorted(map(tuple, own.trace().collect())) == sorted(map(tuple, golden.trace().collect()))
+    assert own.state.schema[column] == golden.state.schema[column]
+
+    def ends(runs):
+        outcomes = {r["trial"]: tuple(r) for r in camp.classified(runs).drop("metric2").collect()}
+        return outcomes, {(r["trial"], r["v"]): r[column] for r in runs.whole(runs.runs.select("trial")).collect()}
+
+    (want, state), (got, own_state) = ends(camp.Injected(golden, plan)), ends(camp.LocalInjected(own, plan))
+    assert got == want and {x[3] for x in got.values()} >= {"Masked", "SDC"}
+    assert own_state == pytest.approx(state, rel=1e-12, nan_ok=True)
+
+
+def test_a_campaign_over_a_long_chain_takes_few_jobs(spark):
+    n, context = 60, spark.sparkContext
+    context.setJobGroup("campaign", "chain")
+    try:
+        records = camp.campaign(camp.app("SSSP", 0), edges(spark, [(i, i + 1) for i in range(n)]), 4)
+        assert records.count() == 4 and records.agg(F.max("supersteps")).head()[0] >= n // 2
+        assert len(context.statusTracker().getJobIdsForGroup("campaign")) < n
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_strong_components_in_memory_and_by_turns(spark):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(75)] + [(4, 4), (5, 5)]
+    e = edges(spark, pairs)
+    clean = alg.stored(e.filter("src <> dst").distinct())
+    labels = table(alg.scc(e))
+    assert labels == table(alg.scc_by_turns(clean, alg.stored(graphs.vertices(clean)))) and len(set(labels.values())) < len(labels)
+    few = spark.createDataFrame([(v,) for v in range(40)], "v long")
+    inside = edges(spark, [p for p in pairs if max(p) < 40 and p[0] != p[1]]).distinct()
+    assert table(alg.scc(e, few)) == table(alg.scc_by_turns(inside, few))
