@@ -554,3 +554,18 @@ def test_language(spark, docs, nothing):
     assert language.identify(nothing, language.train(nothing)).count() == 0
     code = language.codewords(5)
     assert len({tuple(c) for c in code.tolist()}) == 5
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model that a fit on its own would make, but makes none itself."""
+    rows = [(f"d{i:03}", ("bad worse worst " if i % 3 == 0 else "fine good better ") * 3 + f"word{i % 7}", int(i % 3 == 0)) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    want = toxicity.fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
+
+    def refuse(*_):
+        raise AssertionError("the learner is on the driver")
+
+    monkeypatch.setattr(toxicity, "Ftrl", refuse)
+    got = toxicity.train(table, table)
+    assert len(want.slots) and got.bits == want.bits and got.bias == want.bias
+    assert np.array_equal(got.slots, want.slots) and np.array_equal(got.weights, want.weights)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .features import blocks, word_grams
 from .storage import small_batches
-from .training import bounded_sample, split_of
+from .training import sample_rows, split_of
 
 #: Distances of the word pairs: bigrams and skip-grams over one word.
 SKIPS = (1, 2)
@@ -56,7 +56,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = 22, epochs: int = 2, seed: int = 7, least: int = 4) -> Model:
+#: Bits of a slot's number.
+BITS = 22
+
+
+def fit(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int = 2, seed: int = 7, least: int = 4) -> Model:
     """Trains on the texts in `epochs` seeded orders; coordinates that fewer than `least` texts have stay at zero.
 
     The rarer label weighs more, by the root of how much rarer it is. Few passes and a strong L1 term keep chance pairs of
@@ -121,8 +125,26 @@ MAX_ROWS = {0: 5000, 1: 3000}
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: dict[int, int] = MAX_ROWS) -> Model:
-    """Fits on at most `max_rows` labelled documents (see training.bounded_sample); labels has doc_id and toxic."""
-    return fit(*bounded_sample(docs, labels, "toxic", max_rows))
+    """Fits on at most `max_rows` labelled documents (see training.sample_rows); labels has doc_id and toxic.
+
+    The fit runs in a task, so that the driver holds the model's few coordinates but neither the texts nor the learner.
+    """
+    small_batches(docs.sparkSession)
+    rows = sample_rows(docs, labels, "toxic", max_rows).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for b in batches:
+            texts += b.column(1).to_pylist()
+            marks += b.column(2).to_pylist()
+        m = fit(texts, marks)
+        made = [pa.array([x], kind) for x, kind in ((m.slots.tolist(), pa.list_(pa.int64())), (m.weights.tolist(), pa.list_(pa.float32())), (m.bias, pa.float64()))]
+        yield pa.RecordBatch.from_arrays(made, names=["slots", "weights", "bias"])
+
+    own = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "slots array<long>, weights array<float>, bias double").head()
+    if own is None:  # no task without a row
+        return fit([], [])
+    return Model(BITS, np.array(own["slots"], np.int64), np.array(own["weights"], np.float32), own["bias"])
 
 
 def learnable(labels: DataFrame) -> DataFrame:
